@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewell.llm import exact_dedup, packing, quality_qda
+from clausewell.llm import exact_dedup, ngram_join, packing, quality_qda
 from clausewell.llm.common import Scratch
 
 
@@ -31,5 +31,9 @@ def op5_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), Scratch(spark, "exact"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op3_sum_of_squares_packing, op5_bloom_exact_dedup)}
+def op10_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"), Scratch(spark, "ngram"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_qda, op3_sum_of_squares_packing, op5_bloom_exact_dedup, op10_ngram_trie_join)}
 ORACLES = {"op5_bloom_exact_dedup": exact_dedup.ORACLE}
