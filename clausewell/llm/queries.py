@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewell.llm import exact_dedup, ngram_join, packing, quality_qda
+from clausewell.llm import exact_dedup, licences, line_rules, ngram_join, packing, quality_qda, secret_forest, sentencepieces, token_files, warc
 from clausewell.llm.common import Scratch
 
 
@@ -35,5 +35,35 @@ def op10_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents"), Scratch(spark, "ngram"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_qda, op3_sum_of_squares_packing, op5_bloom_exact_dedup, op10_ngram_trie_join)}
-ORACLES = {"op5_bloom_exact_dedup": exact_dedup.ORACLE}
+def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archive(*warc.write_archive(_table(spark, sf_dir, "pages"), Scratch(spark, "warc")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_licence_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_rows(_table(spark, sf_dir, "documents"))
+
+
+def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_files(_table(spark, sf_dir, "documents"), Scratch(spark, "tokens"), vocabulary("word_bpe_49k.json"), keep_blanks=False, end_id=2)
+    return token_files.read_files(files)
+
+
+def op7_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.finding_digests(secret_forest.findings(_table(spark, sf_dir, "documents"), Scratch(spark, "secrets")))
+
+
+def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_qda, op2_content_addressed_warc, op3_sum_of_squares_packing, op4_licence_sentence_rules, op5_bloom_exact_dedup,
+    op6_arrow_token_files, op7_line_first_rules, op8_secret_forest, op9_sentencepiece_viterbi, op10_ngram_trie_join)}
+#: SQL expresses these; the others are held against brute force in tests/llm.
+ORACLES = {
+    "op2_content_addressed_warc": warc.ORACLE, "op4_licence_sentence_rules": licences.ORACLE, "op5_bloom_exact_dedup": exact_dedup.ORACLE, "op7_line_first_rules": line_rules.ORACLE}

@@ -49,15 +49,12 @@ class Codes(dict):
 
 
 class ChunkEncoder:
-    """Encode whole texts to id arrays; ``keep_blanks`` says whether blanks are part of the tokens."""
+    """Encode whole texts to id arrays. ``split`` cuts a text into chunks; ``encode_fresh`` gives the ids of distinct
+    chunks as one flat array and their lengths. The cache starts anew beyond ``most`` chunks."""
 
-    def __init__(self, path: str, keep_blanks: bool, end_id: int | None = None, most: int = 1_200_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = spaced_chunks if keep_blanks else bare_chunks
-        self.end, self.most = end_id, most
+    def __init__(self, split, encode_fresh, wide: bool, end_id: int | None = None, most: int = 1_200_000):
+        self.split, self.encode_fresh, self.end, self.most = split, encode_fresh, end_id, most
+        self.kind = np.uint32 if wide else np.uint16
         self._clear()
 
     def _clear(self) -> None:
@@ -65,22 +62,22 @@ class ChunkEncoder:
         self.used = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.ids = np.zeros(1 << 14, self.kind)
 
     def _learn(self) -> None:
         """Encode the waiting chunks; arrays grow by doubling."""
         fresh, self.codes.fresh = self.codes.fresh, []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        end, lengths = len(self.codes), np.fromiter(map(len, found), np.int64, len(found))
-        at, total = end - len(fresh), int(lengths.sum())
+        flat, lengths = self.encode_fresh(fresh)
+        end = len(self.codes)
+        at = end - len(fresh)
         while len(self.lengths) < end:
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while len(self.ids) < self.used + total:
+        while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.starts[at:end] = self.used + np.cumsum(lengths) - lengths
         self.lengths[at:end] = lengths
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.int64, total)
-        self.used += total
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One id array per text, with the end id appended when there is one."""
@@ -103,12 +100,28 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
+class TokenizerEncoder(ChunkEncoder):
+    """Chunks encoded by the tokenizers library; ``keep_blanks`` says whether blanks are part of the tokens."""
+
+    def __init__(self, path: str, keep_blanks: bool, end_id: int | None):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        super().__init__(spaced_chunks if keep_blanks else bare_chunks, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
+
+    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
+
+
+_ENCODERS: dict[tuple, TokenizerEncoder] = {}
 
 
-def encoder(path: str, keep_blanks: bool, end_id: int | None) -> ChunkEncoder:
+def encoder(path: str, keep_blanks: bool, end_id: int | None) -> TokenizerEncoder:
     """One encoder per Python worker, whose cache serves all its tasks."""
     key = (path, keep_blanks, end_id)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(*key)
+        _ENCODERS[key] = TokenizerEncoder(*key)
     return _ENCODERS[key]
