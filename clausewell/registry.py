@@ -1,4 +1,5 @@
 """All registered queries of the retrieval and clause engine, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from clausewell.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
