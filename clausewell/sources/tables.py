@@ -29,7 +29,7 @@ def markdown_corpus(spark: SparkSession, folder: str, state: str) -> DataFrame:
     The heading ``# <section> — <title>`` and the line ``Source: <url>`` are read from the text; a file without a
     heading is named by its stem.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(f"{folder}/{state}")
+    files = spark.read.text(f"{folder}/{state}", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     path = F.col("_metadata.file_path")
     kept = files.select(F.col("value").alias("text"), path.alias("source"))
     filled = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), default)

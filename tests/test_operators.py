@@ -92,7 +92,7 @@ def test_bm25_edges(spark):
 
 def test_protections_and_scan(spark):
     checks = spark.createDataFrame([(1, 1, 0, "missing"), (1, 1, 1, "present"), (1, 2, 0, "missing"), (1, 2, 1, "not_applicable"), (1, 3, 1, "missing"), (1, 3, 0, "missing")], "doc_id int, index int, window int, status string")
-    assert {(r.index, r.status, r.window) for r in scan.merged_protections(checks).collect()} == {(1, "present", 1), (2, "missing", 0), (3, "missing", 0)}
+    assert {(r["index"], r.status, r.window) for r in scan.merged_protections(checks).collect()} == {(1, "present", 1), (2, "missing", 0), (3, "missing", 0)}
     found = {r.doc_id: r for r in scan.scan(texts(spark, ["The tenant shall waive all claims.", None, "x" * 384_001, ("y" * 300 + "\n") * 61])).collect()}
     assert [found[k].status for k in range(4)] == ["scanned", "empty", "too_large", "scanned"]
     assert (found[0].red, found[3].partial, found[3].clauses_judged, found[3].clauses_total) == (1, True, 60, 61)

@@ -3,12 +3,13 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "~"
     if isinstance(value, (int, float)):
         return f"{float(value):.9g}"
