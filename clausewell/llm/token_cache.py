@@ -110,10 +110,14 @@ class TokenizerEncoder(ChunkEncoder):
         self.tokenizer.encode_special_tokens = True
         super().__init__(spaced_chunks if keep_blanks else bare_chunks, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
 
-    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
+    def _encode(self, fresh: list[str], step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """``step`` chunks at a time, since the library's result objects are far larger than the ids."""
+        ids, lengths = [], []
+        for at in range(0, len(fresh), step):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + step], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
 
 _ENCODERS: dict[tuple, TokenizerEncoder] = {}
