@@ -110,15 +110,12 @@ def pack(docs: DataFrame, path: str, keep_blanks: bool = True, end_id: int = 1,
     """One row per piece of every document; ``with_ids`` adds the piece's ids, from which sequences are assembled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, keep_blanks, end_id).encode
+        coder = encoder(path, keep_blanks, end_id)
         first = TaskContext.get().partitionId() << 36
 
         def documents():
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                for at in range(0, len(ids), 64):
-                    some = ["" if t is None else t for t in texts.slice(at, 64).to_pylist()]
-                    yield from zip(ids[at : at + 64], encode(some), strict=True)
+                yield from zip(batch.column(0).to_pylist(), coder.each(batch.column(1)), strict=True)
 
         rows: list[tuple] = []
         kept: list[np.ndarray] = []

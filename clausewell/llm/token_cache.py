@@ -8,9 +8,13 @@ chunks saves most of the merging work. ``tests/llm`` holds this against whole-te
 from __future__ import annotations
 
 import itertools
+import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The code points with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -23,16 +27,8 @@ RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200
 PYTHON_BLANK = [chr(c) for c in range(0x1C, 0x20)]
 
 
-def spaced_chunks(text: str) -> list[str]:
-    """The text cut before every single space between two other characters; any other use of blanks is cut by pattern."""
-    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in RARE):
-        return SPACED.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
-def bare_chunks(text: str) -> list[str]:
-    return BARE.findall(text) if any(c in text for c in PYTHON_BLANK) else text.split()
+#: Texts whose blanks are more than single spaces and line feeds between words; these are cut by the patterns above.
+NOT_PLAIN = {True: r"\A | \z|  |\n\n| \n|\n |[" + "".join(RARE) + "]", False: "[" + "".join(RARE + PYTHON_BLANK) + "]"}
 
 
 class Codes(dict):
@@ -63,6 +59,13 @@ class ChunkEncoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, self.kind)
+        if self.end is not None:  # the end of a document is a chunk with code 0
+            self.codes[None] = 0
+            self.used, self.lengths[0], self.ids[0] = 1, 1, self.end
+
+    def _room(self) -> None:
+        if len(self.codes) > self.most:
+            self._clear()
 
     def _learn(self) -> None:
         """Encode the waiting chunks; arrays grow by doubling."""
@@ -81,43 +84,88 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One id array per text, with the end id appended when there is one."""
-        if len(self.codes) > self.most:
-            self._clear()
+        self._room()
         code = self.codes.__getitem__
         rows = [np.array(list(map(code, self.split(t))), np.int64) for t in texts]
+        return self._join(np.concatenate(rows), np.cumsum([len(r) for r in rows])) if rows else []
+
+    def _join(self, codes: np.ndarray, until: np.ndarray) -> list[np.ndarray]:
+        """The id arrays of texts whose chunks follow one another in ``codes``, each up to its place in ``until``."""
         if self.codes.fresh:
             self._learn()
-        return [self._join(row) for row in rows]
-
-    def _join(self, codes: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + (self.end is not None), np.uint32)
-        out[:total] = self.ids[np.arange(total) + np.repeat(self.starts[codes] - ends + lengths, lengths)]
         if self.end is not None:
-            out[total] = self.end
-        return out
+            codes, until = np.insert(codes, until, 0), until + np.arange(1, len(until) + 1)
+        lengths = self.lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends[:-1], lengths)].astype(np.uint32)
+        return np.split(flat, ends[until[:-1]])
 
 
 class TokenizerEncoder(ChunkEncoder):
     """Chunks encoded by the tokenizers library; ``keep_blanks`` says whether blanks are part of the tokens."""
 
     def __init__(self, path: str, keep_blanks: bool, end_id: int | None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.keep_blanks, self.tokenizer, self.cutter = keep_blanks, Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        super().__init__(spaced_chunks if keep_blanks else bare_chunks, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
-
-    def _encode(self, fresh: list[str], step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """``step`` chunks at a time, since the library's result objects are far larger than the ids."""
-        ids, lengths = [], []
-        for at in range(0, len(fresh), step):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + step], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths[-1].sum())))
-        return np.concatenate(ids), np.concatenate(lengths)
+        self.mark, self.mark_id = next((t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized)
+        super().__init__((SPACED if keep_blanks else BARE).findall, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
+
+    def _encode(self, fresh: list[str], joined: int = 64, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """``joined`` chunks become one input, each closed by a special token that cuts it off; a chunk that could hold
+        a special token is encoded on its own. ``step`` inputs are encoded at a time, since result objects are large."""
+        odd = [k for k, x in enumerate(fresh) if "<|" in x]
+        even = [x for x in fresh if "<|" not in x] if odd else fresh
+        inputs = [self.mark.join(even[at : at + joined]) + self.mark for at in range(0, len(even), joined)]
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(inputs), step):
+            found.extend(np.array(e.ids, np.int64) for e in self.cutter.encode_batch_fast(inputs[at : at + step], add_special_tokens=False))
+        flat = np.concatenate(found)
+        ends = np.flatnonzero(flat == self.mark_id)
+        lengths, flat = np.diff(ends, prepend=-1) - 1, flat[flat != self.mark_id]
+        if not odd:
+            return flat, lengths
+        parts = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([fresh[k] for k in odd], add_special_tokens=False), strict=True):
+            parts.insert(k, np.array(e.ids, np.int64))
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def each(self, texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[np.ndarray]:
+        """The id array of every text in turn; texts are encoded in runs of about ``most_bytes``, or one at a time."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, "right")))
+            run = texts.slice(at, end - at)
+            odd = pc.match_substring_regex(run, NOT_PLAIN[self.keep_blanks]).to_numpy(zero_copy_only=False)
+            plain, rest = iter(self._plain(run.filter(pa.array(~odd)))), iter(self.encode(run.filter(pa.array(odd)).to_pylist()))
+            yield from (next(rest if o else plain) for o in odd.tolist())
+            at = end
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """As ``encode``, for texts of words between single spaces and line feeds: Arrow finds a run's distinct words."""
+        if not len(texts):
+            return []
+        self._room()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.keep_blanks else " "), " ")
+        words = lists.flatten().dictionary_encode()
+        at, known, offsets = words.indices.to_numpy(), words.dictionary.to_pylist(), lists.offsets.to_numpy()
+        code, table = self.codes.__getitem__, np.zeros(len(known), np.int64)
+        if not self.keep_blanks:
+            table[:] = list(map(code, known))
+            return self._join(table[at], offsets[1:].astype(np.int64))
+        bare = at == (known.index("\n") if "\n" in known else -1)
+        bare[1:] |= bare[:-1].copy()  # line feeds and what follows them have no space before
+        bare[offsets[:-1]] = True
+        spaced, alone = (np.flatnonzero(np.bincount(at[m], minlength=len(known))) for m in (~bare, bare))
+        table[spaced] = [code(" " + known[k]) for k in spaced]
+        codes = table[at]
+        table[alone] = [code(known[k]) for k in alone]
+        codes[bare] = table[at[bare]]
+        return self._join(codes, offsets[1:].astype(np.int64))
 
 
 _ENCODERS: dict[tuple, TokenizerEncoder] = {}

@@ -115,15 +115,13 @@ def write_files(docs: DataFrame, scratch: Scratch, path: str, keep_blanks: bool,
         name = f"{root}/part-{part:06d}"
         mine = f"{name}-{context.taskAttemptId()}.tmp"
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 64):
-                for key, found in zip(keys[at : at + 64], coder.encode(["" if t is None else t for t in texts.slice(at, 64).to_pylist()]), strict=True):
-                    if out is None:
-                        stream = fs.open_output_stream(mine)
-                        out = FileWriter(stream, width, length)
-                    out.add(found)
-                    ids.append(key)
-                    sizes.append(len(found))
+            for key, found in zip(batch.column(0).to_pylist(), coder.each(batch.column(1)), strict=True):
+                if out is None:
+                    stream = fs.open_output_stream(mine)
+                    out = FileWriter(stream, width, length)
+                out.add(found)
+                ids.append(key)
+                sizes.append(len(found))
         if out is None:
             return
         out.finish()
