@@ -27,8 +27,9 @@ RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200
 PYTHON_BLANK = [chr(c) for c in range(0x1C, 0x20)]
 
 
-#: Texts whose blanks are more than single spaces and line feeds between words; these are cut by the patterns above.
-NOT_PLAIN = {True: r"\A | \z|  |\n\n| \n|\n |[" + "".join(RARE) + "]", False: "[" + "".join(RARE + PYTHON_BLANK) + "]"}
+#: Texts that are cut by the patterns above: those whose blanks are more than single spaces and line feeds between words,
+#: and, where blanks are dropped, also those with combining marks, which may join a small letter but not its capital.
+NOT_PLAIN = {True: r"\A | \z|  |\n\n| \n|\n |[" + "".join(RARE) + "]", False: "[\u0300-\u036f" + "".join(RARE + PYTHON_BLANK) + "]"}
 
 
 class Codes(dict):
@@ -111,6 +112,7 @@ class TokenizerEncoder(ChunkEncoder):
         self.keep_blanks, self.tokenizer, self.cutter = keep_blanks, Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mark, self.mark_id = next((t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized)
+        self.lowers = not keep_blanks and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         super().__init__((SPACED if keep_blanks else BARE).findall, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
 
     def _encode(self, fresh: list[str], joined: int = 64, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +152,7 @@ class TokenizerEncoder(ChunkEncoder):
         if not len(texts):
             return []
         self._room()
+        texts = pc.ascii_lower(texts) if self.lowers else texts
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.keep_blanks else " "), " ")
         words = lists.flatten().dictionary_encode()
         at, known, offsets = words.indices.to_numpy(), words.dictionary.to_pylist(), lists.offsets.to_numpy()

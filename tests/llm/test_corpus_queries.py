@@ -4,12 +4,19 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 from twins import SMALL, check
 
 from clausewell.llm.queries import ORACLES, QUERIES
+from clausewell.llm.token_cache import TokenizerEncoder
+
+#: Texts whose blanks, marks, capitals or special tokens could be cut wrongly.
+ODD = [
+    "", None, " ", "a", "\n", "a\nb", "\na b", "a b\n", "a  b", " a", "a ", "a \n b", "a\n\nb c", "x\ty", "\r\nA B", " \n", "\n\n", "<|endoftext|> <|startoftext|>b",
+    "|> <| b<|", "<", "x<\n<|endoftext|>", "J\u030c H\u0331 \u1e9e \u0130 I\u030a", "\u00e1 \u0338b\n\u0338c", "a\x1cb c\x1f", "a\u3000b", "It's DON'T  '  s", "\u00e9 z \x85 q"]
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +34,14 @@ def encoded(name, texts, end):
     return {k: [*tokenizer.encode(t, add_special_tokens=False).ids, end] for k, t in texts.items()}
 
 
+@pytest.mark.parametrize("name, keep_blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_chunks_give_the_ids_of_whole_texts(name, keep_blanks, docs):
+    coder = TokenizerEncoder(public_tokenizers.path(name), keep_blanks, 1)
+    for texts in (ODD, ODD[5:] + ODD, list(docs.values())):
+        want = encoded(name, {k: t or "" for k, t in enumerate(texts)}, 1)
+        assert [x.tolist() for x in coder.each(pa.array(texts, pa.string()), most_bytes=50_000)] == list(want.values())
+
+
 def slow_sets(texts):
     out = {}
     for k, text in texts.items():
