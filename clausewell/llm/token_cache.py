@@ -47,9 +47,10 @@ class Codes(dict):
 
 class ChunkEncoder:
     """Encode whole texts to id arrays. ``split`` cuts a text into chunks; ``encode_fresh`` gives the ids of distinct
-    chunks as one flat array and their lengths. The cache starts anew beyond ``most`` chunks."""
+    chunks as one flat array and their lengths. Beyond ``most`` chunks the cache keeps the quarter learnt first, which
+    holds the frequent words, and forgets the rest."""
 
-    def __init__(self, split, encode_fresh, wide: bool, end_id: int | None = None, most: int = 1_200_000):
+    def __init__(self, split, encode_fresh, wide: bool, end_id: int | None = None, most: int = 600_000):
         self.split, self.encode_fresh, self.end, self.most = split, encode_fresh, end_id, most
         self.kind = np.uint32 if wide else np.uint16
         self._clear()
@@ -66,7 +67,10 @@ class ChunkEncoder:
 
     def _room(self) -> None:
         if len(self.codes) > self.most:
-            self._clear()
+            kept = self.most // 4
+            old, self.codes = self.codes, Codes()
+            self.codes.update(itertools.islice(old.items(), kept))
+            self.used = int(self.starts[kept])
 
     def _learn(self) -> None:
         """Encode the waiting chunks; arrays grow by doubling."""
