@@ -5,6 +5,11 @@ found, in the order of the text, form the document's sequence; ordered rules the
 sentences that must follow one another in it (others may stand between), and of one licence's rules the first that
 matches counts, so a full text is preferred to a lone notice.
 
+Texts are cut into parts at line breaks and sentence ends. A known sentence is one part, or consecutive parts that no
+blank line parts: licence texts are wrapped, and hold colons and semicolons inside a sentence. Comment and bullet marks
+around a part count as blanks, and a line of marks only is blank. Of two known sentences that begin at one part the
+longer counts. The SQL knows sentences of one part without such marks only, the form that the given tables have.
+
 All steps are DataFrame functions. Texts without any trigger word, which every known sentence contains, are left
 before they are split. The table and the rules are constants of this module, so what is broadcast has a fixed size.
 
@@ -79,6 +84,10 @@ RULES = [
 TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty|cc by"
 #: A sentence ends at a line break, or after . ! ? ; or : before a blank. The list markers of licence texts stand alone.
 STOP = r"\n+|(?<=[.!?;:])[\x20\x09-\x0D]+"
+#: An empty line between two parts.
+GAP = r"\n[\x20\x09-\x0D]*\n"
+#: Comment and bullet marks before a part's first word or after its last one.
+MARKS = r"^[^\p{L}\p{N}]*(?:(?i:dnl|rem|c|o|[0-9]{1,2}\)|[a-z]\)|[ivx]{1,4}\))[\x20\x09]+[^\p{L}\p{N}]*)?|[^\p{L}\p{N}]+$"
 NOT_WORD = r"[^\p{L}\p{N}.-]+"
 LOOSE = r"(?<![0-9])\.|\.(?![0-9])"
 
@@ -95,14 +104,52 @@ def _known_form(text: str) -> str:
     return re.sub(" +", " ", re.sub(r"(?<![0-9])\.|\.(?![0-9])", " ", text)).strip()
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is made once, and not once for every part."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs() -> Column:
+    """For every part of ``text`` the normalised sentences that begin with it, of one part and more, as far as a known
+    sentence can reach; none where no known sentence begins like the part."""
+    known = [_known_form(v) for v in SENTENCES.values()]
+    most_words, most = max(len(x.split(" ")) for x in known), max(map(len, known))
+    starts = "^(" + "|".join(sorted({x.split(" ")[0] for x in known})) + ")( |$)"
+    table = F.array(*map(F.lit, known))
+    words = F.transform(F.split("text", STOP), lambda p: normalised(F.regexp_replace(p, MARKS, "")))
+    between = F.concat(F.array(F.lit("\n\n")), F.regexp_extract_all("text", F.lit(STOP), F.lit(0)), F.array(F.lit("\n\n")))
+
+    def pieces(stops: Column) -> Column:
+        # a line of marks only parts as a blank line does; marks that are cut off beside words do not
+        return F.transform(words, lambda w, k: F.struct(w.alias("words"), (
+            stops[k].rlike(GAP) | ((w == "") & stops[k].contains("\n") & stops[k + 1].contains("\n"))).alias("after_gap")))
+
+    def longer(acc: Column, piece: Column) -> Column:
+        both = F.concat_ws(" ", acc["last"], F.nullif(piece["words"], F.lit("")))
+        on = acc["on"] & ~piece["after_gap"] & (F.length(both) <= most)
+        more = F.when(on & (piece["words"] != ""), F.array(both)).otherwise(F.array().cast("array<string>"))
+        # what has ended is not made longer
+        return F.struct(F.concat(acc["all"], more).alias("all"), F.when(on, both).otherwise(acc["last"]).alias("last"), on.alias("on"))
+
+    def from_part(all_pieces: Column, piece: Column, k: Column) -> Column:
+        first = F.struct(F.array(piece["words"]).alias("all"), piece["words"].alias("last"), F.lit(True).alias("on"))
+        begins = piece["words"].rlike(starts) & F.exists(table, lambda x: x.startswith(piece["words"]))
+        return F.when(begins, F.aggregate(F.slice(all_pieces, k + 2, 4 * most_words), first, longer)["all"]).otherwise(F.array().cast("array<string>"))
+
+    return _once(_once(between, pieces), lambda p: F.transform(p, lambda piece, k: from_part(p, piece, k)))
+
+
 def licence_rows(docs: DataFrame) -> DataFrame:
     """One row per document and licence found: doc_id, licence, rule, first_sentence (from 0), n_sentences, sentences."""
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(_known_form(v), k) for k, v in SENTENCES.items()], "sentence string, id string"))
     some = docs.select("doc_id", "text").filter(F.col("text").rlike(TRIGGER)).withColumn("row", F.monotonically_increasing_id())
-    parts = some.select("row", "doc_id", F.posexplode(F.split("text", STOP)).alias("position", "part")).filter(F.col("part").rlike(TRIGGER))
-    known = parts.select("row", "doc_id", "position", normalised(F.col("part")).alias("sentence")).join(table, "sentence")
-    found = known.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "id"))).alias("hits"))
+    parts = some.select("row", "doc_id", F.posexplode(_runs()).alias("position", "runs")).filter(F.size("runs") > 0)
+    runs = parts.select("row", "doc_id", "position", F.posexplode("runs").alias("more", "sentence"))
+    known = runs.join(table, "sentence")
+    hits = F.sort_array(F.collect_list(F.struct("position", (-F.col("more")).alias("shorter"), "id")))
+    found = known.groupBy("row", "doc_id").agg(hits.alias("hits")).withColumn(
+        "hits", F.expr("filter(hits, (h, k) -> k = 0 or hits[k - 1].position <> h.position)"))
     sequence = F.concat(F.lit(","), F.array_join("hits.id", ","), F.lit(","))
     named = found.withColumn("sequence", sequence)
     rules = F.broadcast(spark.createDataFrame([(k, a, b, "," + ",(.*,)?".join(ids) + ",", ids) for k, (a, b, ids) in enumerate(RULES)], "place int, licence string, rule string, pattern string, ids array<string>"))

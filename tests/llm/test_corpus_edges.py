@@ -112,6 +112,73 @@ def test_licences(spark, docs):
     assert licences.licence_rows(docs.limit(0)).count() == 0
 
 
+MIT = """MIT License
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+
+
+def test_wrapped_and_commented_licences(spark):
+    full = [("MIT", "full text", 3, MIT), ("Apache-2.0", "header", 5, APACHE), ("GPL-3.0-or-later", "header", 3, GPL), ("BSD-3-Clause", "full text", 4, BSD)]
+    shapes = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */"]
+    shapes += [lambda t, m=m: "\n".join(m + x for x in t.split("\n")) for m in ("// ", "# ", "-- ", "; ", "dnl ")]
+    shapes += [lambda t: "\n".join(f"* {x:<80} *" for x in t.split("\n"))]
+    rows = [(100 * k + j, shape(t)) for k, (_, _, _, t) in enumerate(full) for j, shape in enumerate(shapes)]
+    rows += [(300 + 50 + k, BSD.replace("1. ", m).replace("2. ", m).replace("3. ", m)) for k, m in enumerate(["- ", "* ", "a) ", "(1) "])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.licence): (r.rule, r.n_sentences) for r in licences.licence_rows(docs).collect()}
+    for k, _ in rows:
+        licence, rule, n, _ = full[k // 100]
+        assert found[k, licence] == (rule, n), (k, licence)
+    # a blank line, empty or of marks only, ends a sentence
+    cut = spark.createDataFrame([(1, "Released under\n\nthe MIT license"), (2, "# Released under\n#\n# the MIT license"), (3, "Released under\nthe MIT license")], "doc_id bigint, text string")
+    assert [(r.doc_id, r.first_sentence) for r in licences.licence_rows(cut).collect()] == [(3, 0)]
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 2000
     rows = [(1, "http://a", big, 0), (2, None, big, 0), (3, "http://b", None, 0), (4, "http://c", "", 0), (5, "u", "é" * 499, 0), (6, "u", "é" * 499, 0), (7, "u\r\nX: y", big, 0), (7, "u", big, 0), (None, "n", big, 0)]
