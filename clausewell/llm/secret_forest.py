@@ -1,13 +1,14 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-Candidates are runs of at least 16 key characters that hold a digit. A forest over their length, character
+Candidates are runs of at least 16 key characters, and whatever is assigned after a credential name, of any length and
+of any symbols, up to its closing quote or, without quotes, the next blank. A forest over their length, character
 transitions, dictionary coverage, path features and neighbouring words, trained from labelled findings, gives each a
 score; findings below the threshold are removed as false positives.
 
 Labelled findings come as a table with the feature columns and ``label``. Where there is none, ``weak_labels`` gives
 labels by rules of high precision (a provider's key format, or a credential name assigned right before the candidate,
-are true; plain numbers, and candidates inside links or file paths, are false) and leaves all other findings
-unlabelled. Training uses at most ``most_labelled`` of them, those with the smallest hash, a documented bound.
+are true; plain numbers, words, and candidates inside links or file paths, are false) and leaves all other findings
+unlabelled; so are assigned values that read like a lone word ("password: required"). Training uses at most ``most_labelled`` of them, those with the smallest hash, a documented bound.
 
 Defined cases: null and empty texts have no candidates; a candidate that repeats is one finding per occurrence;
 repeated rows give their findings again; with no labelled findings of one class, findings take the rules' verdict, and
@@ -26,8 +27,22 @@ from clausewell.llm.common import Scratch
 
 #: What a candidate is made of, and the word lists of the features.
 RUN = r"[A-Za-z0-9_+/=\-]{16,}"
-NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
-ASSIGNED = NAMES + r"[\w-]*[\"']?\s*[:=]\s*[\"']?$"
+NAMES = r"(?i)(token|secret|passw(or)?d|passphrase|passcode|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
+#: A credential name and the sign that assigns to it; authors, secretaries and token counts are none.
+NAMED = r"(?!(?i:author(?!i[sz])|secretar|tokens\b|tokeni[sz]))" + NAMES + r"[\w-]*[\"']?\s*(?:=>|[:=]=?)\s*"
+ASSIGNED = NAMED + r"[\"']?$"
+#: A name with what is assigned to it: up to the quote that closes it on its line, or the next blank.
+PAIR = r"[\w-]*" + NAMED + r"(?:\"[^\"\r\n]+(?=\")|'[^'\r\n]+(?=')|[\"']?[^\s\"']+)"
+HEAD = r"^[\w-]*" + NAMED + r"[\"']?"
+FOUND = f"{PAIR}|{RUN}"
+#: Lone words, hyphened ones too, in small letters, capitals or with a capital first.
+WORDS = r"^(\p{L}?\p{Ll}+|\p{Lu}+)([-_/]+(\p{L}?\p{Ll}+|\p{Lu}+))*[.,;:!?)]*$"
+#: Assigned values that prove nothing: words, numbers, sentences, calls and placeholders.
+UNSURE = WORDS + r"|^[0-9.,]+$|\s|[(){}<>\[\]]|^\$"
+#: A quoted passphrase: three words or more in small letters, none of them from a message about passwords.
+PHRASE = r"^(?!.*\b(the|your|not|for|and|with|must|enter|required|invalid|wrong|please|you|has|have|are|was|this|that)\b)\p{Ll}{3,}([ _-]\p{Ll}{3,}){2,}$"
+#: Findings of 8 characters or more that hold one of these are redacted wherever they stand in their document.
+TELLING = r"[0-9]|[^\p{L}\s._,;:'(){}\[\]/-]"
 INNER = r"(?i)^(token|secret|passw(or)?d|pwd|api[_-]?key|auth)[\w-]*[=:]"
 PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-|^sk_live_|^AIza[\w-]{35}$"
 OTHER_NAMES = r"(?i)(sha|commit|hash|digest|checksum|uuid|guid|isbn|phone|fax|order|invoice|version|build|id|card|iban)[\"']?\s*[:=#]?\s*[\"']?$"
@@ -47,8 +62,10 @@ def _left(text: Column, pattern: str) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, start (in code points), candidate, and 48 characters before and after it, one row per occurrence."""
-    some = docs.select("doc_id", "text").filter(F.col("text").rlike(RUN))
-    split = some.select("doc_id", F.split("text", RUN).alias("gaps"), F.expr(f"regexp_extract_all(text, r'{RUN}', 0)").alias("runs"))
+    some = docs.select("doc_id", "text").filter(F.col("text").rlike(f"{NAMED}|{RUN}"))
+    # most texts name no credential and are cut by the plain pattern, which finds the same in them
+    pattern = F.when(F.col("text").rlike(NAMED), F.lit(FOUND)).otherwise(F.lit(RUN))
+    split = some.select("doc_id", F.split("text", pattern).alias("gaps"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("runs"))
     placed = split.withColumn("lengths", F.zip_with("gaps", "runs", lambda g, r: F.length(g) + F.coalesce(F.length(r), F.lit(0))))
     # running starts: one fold over the run lengths of a text
     placed = placed.withColumn("starts", F.aggregate(
@@ -57,8 +74,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     each = placed.select("doc_id", F.posexplode(F.arrays_zip(
         F.col("runs").alias("run"), F.col("starts").alias("gap_at"), F.transform("gaps", lambda g: F.length(g)).alias("gap_size"),
         F.transform("gaps", lambda g: F.right(g, F.lit(48))).alias("before"), F.slice(F.transform("gaps", lambda g: F.left(g, F.lit(48))), 2, F.size("gaps")).alias("after"))).alias("k", "z"))
-    return each.filter(F.col("z.run").rlike("[0-9]")).select(
-        "doc_id", (F.col("z.gap_at") + F.col("z.gap_size")).alias("start"), F.col("z.run").alias("candidate"), F.col("z.before").alias("before"), F.coalesce("z.after", F.lit("")).alias("after"))
+    head = F.regexp_extract("z.run", HEAD, 0)
+    named = each.filter("z.run is not null").withColumn("head", F.when(F.length(head) < F.length("z.run"), head).otherwise(""))
+    return named.select(
+        "doc_id", (F.col("z.gap_at") + F.col("z.gap_size") + F.length("head")).alias("start"), F.substring("z.run", F.length("head") + 1, F.length("z.run")).alias("candidate"),
+        F.right(F.concat("z.before", "head"), F.lit(48)).alias("before"), F.coalesce("z.after", F.lit("")).alias("after"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -82,9 +102,17 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """Findings that the high-precision rules decide, with ``label`` 1.0 or 0.0."""
-    true = (F.col("provider_format") + F.col("assigned") + F.col("inner_name")) > 0
-    false = ((F.col("digit_only") + F.col("in_link") + F.col("has_extension")) > 0) | (F.col("dictionary") > 0.6)
-    return found.withColumn("label", F.when(true, 1.0).when(false, 0.0)).filter("label is not null")
+    return found.withColumn("label", _ruled()).filter("label is not null")
+
+
+def _ruled() -> Column:
+    """1.0, 0.0, or null where no rule is sure."""
+    words = F.col("candidate").rlike(WORDS)
+    telling = ~F.col("candidate").rlike(UNSURE) | ((F.col("quoted") > 0) & F.col("candidate").rlike(PHRASE))
+    true = ((F.col("provider_format") + F.col("inner_name")) > 0) | ((F.col("assigned") > 0) & telling)
+    alone = (F.col("assigned") + F.col("key_name_near") + F.col("quoted")) == 0
+    false = ((F.col("digit_only") + F.col("in_link") + F.col("has_extension")) > 0) | (F.col("dictionary") > 0.6) | words
+    return F.when(true, 1.0).when(false & (alone | (F.col("assigned") == 0) & ~words), 0.0)
 
 
 def train(labelled: DataFrame, trees: int = 24, depth: int = 6, most_labelled: int = 20_000):
@@ -101,8 +129,7 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 6, most_labelled: i
 def scored(found: DataFrame, model) -> DataFrame:
     """Adds ``score``, the forest's probability that a finding is a secret."""
     if model is None:
-        sure = F.col("provider_format") + F.col("assigned") + F.col("inner_name")
-        return found.withColumn("score", F.when(sure > 0, 1.0).otherwise(0.0))
+        return found.withColumn("score", F.coalesce(_ruled(), F.lit(0.0)))
     wide = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     return wide.withColumn("score", vector_to_array("probability")[1])
 
@@ -120,13 +147,23 @@ def finding_digests(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, scratch: Scratch, mark: str = "[secret]", most_broadcast: int = 200_000) -> DataFrame:
-    """``docs`` with every accepted finding replaced by ``mark`` and n_chars set to the new length."""
-    held = findings(docs, scratch).filter("accepted").groupBy("doc_id").agg(F.collect_set("candidate").alias("_cw_secrets"))
+    """``docs`` with every accepted finding replaced by ``mark`` and n_chars set to the new length.
+
+    A finding is replaced where it stands. One of 8 characters or more that no word can be is replaced wherever it
+    stands in the document; short ones and words could be part of other words there.
+    """
+    held = findings(docs, scratch).filter("accepted").groupBy("doc_id").agg(F.collect_set(F.struct("start", "candidate")).alias("_cw_found"))
+    telling = F.filter("_cw_found", lambda x: (F.length(x["candidate"]) >= 8) & x["candidate"].rlike(TELLING) & ~x["candidate"].rlike(r"\s"))
+    held = held.withColumn("_cw_secrets", F.array_distinct(F.transform(telling, lambda x: x["candidate"])))
     held = scratch.save(held.withColumnRenamed("doc_id", "_cw_doc"), "secrets")
     hinted = F.broadcast(held) if held.count() <= most_broadcast else held.hint("shuffle_merge")
     wide = docs.join(hinted, docs["doc_id"].eqNullSafe(F.col("_cw_doc")), "left")
     longest_first = F.array_sort("_cw_secrets", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    clean = F.when(F.col("_cw_secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+    # from the last place to the first, so that places still hold; rows under one doc_id may differ, so the text must agree
+    at = lambda t, x: F.substring(t, x["start"].cast("int") + 1, F.length(x["candidate"])) == x["candidate"]
+    placed = F.aggregate(F.sort_array("_cw_found", False), F.col("text"), lambda t, x: F.when(
+        at(t, x), F.overlay(t, F.lit(mark), x["start"].cast("int") + 1, F.length(x["candidate"]))).otherwise(t))
+    clean = F.when(F.col("_cw_secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, placed, lambda t, s: F.replace(t, s, F.lit(mark))))
     out = wide.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cw_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -90,6 +90,26 @@ def test_secrets(spark, docs):
     assert secret_forest.findings(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_secrets_of_any_form(spark):
+    """Short, symbol-bearing and digit-free values after a credential name are found and redacted where they stand."""
+    planted = ["password = 'Tr0ub4dorX3'", "pwd: 'xK9$fQ2!vb'", "my_password=xK9abc$fQ2", 'api_key: "QwErTyUiOpAsDfGhJkLz"', '{"db-passwd": "hun,ter2"}', "secret_key=>s3@!", "password: 'correct horse battery staple'"]
+    values = ["Tr0ub4dorX3", "xK9$fQ2!vb", "xK9abc$fQ2", "QwErTyUiOpAsDfGhJkLz", "hun,ter2", "s3@!", "correct horse battery staple"]
+    rows = [(k, f"Some text \U0001f600 s3@ here. {p}\nand more of it") for k, p in enumerate(planted)]
+    rows += [(100 + k, f"see https://example.org/a/{k}f83kD02mfKq81Zx77{k} and 12345678901234567{k} counterrevolutionaries said Author: John, max_tokens: 512") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = secret_forest.findings(docs, Scratch(spark, "t")).collect()
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate for r in found)
+    accepted = {(r.doc_id, r.candidate) for r in found if r.accepted}
+    assert accepted == set(enumerate(values))
+    assert "counterrevolutionaries" in {r.candidate for r in found}
+    clean = {r.doc_id: r.text for r in secret_forest.redact(docs, Scratch(spark, "t")).collect()}
+    assert clean == {k: t.replace(values[k], "[secret]") if k < 100 else t for k, t in rows}
+    # a short finding that a word holds is redacted where it stands only
+    twice = spark.createDataFrame([(1, "a cat: password = 'a1' in a1b"), (1, "password = 'b2c' too")], "doc_id bigint, text string")
+    assert {r.text for r in secret_forest.redact(twice, Scratch(spark, "t")).collect()} == {"a cat: password = '[secret]' in a1b", "password = '[secret]' too"}
+
+
 def test_packing_and_tokens(spark, docs):
     pieces = packing.pack(docs, BYTE, with_ids=True).collect()
     assert sum(r.length for r in pieces if r.doc_id == 4) == 1 and sum(1 for r in pieces if r.doc_id == 7 and r.start == 0) == 2
