@@ -59,16 +59,18 @@ def write_archive(pages: DataFrame, scratch: Scratch, least_bytes: int = 1000) -
     groups = scratch.save(groups, "equal")
     repeated = attach_groups(narrow.select("digest", "page_id", "payload_bytes"), groups, ["digest"], "size", total)
     spare = scratch.save(repeated.filter(~F.col("page_id").eqNullSafe(F.col("last"))).select(
-        "page_id", "last", F.col("payload_bytes").alias("bytes")).distinct(), "spare")
+        "page_id", "digest", "last", F.col("payload_bytes").alias("bytes")).distinct(), "spare")
     small = spare.count() <= 1_000_000
     hinted = F.broadcast(spare) if small else spare.hint("shuffle_merge")
-    revisits = hinted.filter(F.col("bytes") >= least_bytes).withColumnsRenamed({"last": "refers_to", "page_id": "_cw_page"}).drop("bytes")
-    typed = narrow.join(revisits, narrow["page_id"].eqNullSafe(F.col("_cw_page")), "left")
+    revisits = hinted.filter(F.col("bytes") >= least_bytes).withColumnsRenamed({"last": "refers_to", "page_id": "_cw_page", "digest": "_cw_digest"}).drop("bytes")
+    # an id that is null or repeated may stand for several payloads, so rows are told apart by the digest, too
+    typed = narrow.join(revisits, (narrow["digest"] == F.col("_cw_digest")) & narrow["page_id"].eqNullSafe(F.col("_cw_page")), "left")
     typed = typed.withColumn("record_type", F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit")))
     records = typed.withColumn("http_head", _http_head()).withColumn("warc_head", _warc_head())
     records = scratch.save(records.select("page_id", "digest", F.encode("warc_head", "UTF-8").alias("warc_head"), F.encode("http_head", "UTF-8").alias("http_head")), "records")
-    stored = pages.join(hinted.select(F.col("page_id").alias("_cw_page")), pages["page_id"].eqNullSafe(F.col("_cw_page")), "left_anti")
-    stored = stored.select(F.sha2(body, 256).alias("digest"), body.alias("payload"))
+    stored = pages.select("page_id", F.sha2(body, 256).alias("digest"), body.alias("payload"))
+    gone = hinted.select(F.col("page_id").alias("_cw_page"), F.col("digest").alias("_cw_digest"))
+    stored = stored.join(gone, (stored["digest"] == F.col("_cw_digest")) & stored["page_id"].eqNullSafe(F.col("_cw_page")), "left_anti").drop("page_id")
     # rows repeated under a group's largest page_id would store its payload again
     again = repeated.filter(F.col("page_id").eqNullSafe(F.col("last"))).groupBy("digest").count().filter("count > 1").select("digest")
     again = scratch.save(again, "again")

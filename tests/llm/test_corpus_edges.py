@@ -212,3 +212,16 @@ def test_warc(spark):
     assert back.filter("not verified").count() == 0
     assert back.select(warc.record_bytes().alias("b")).count() == len(rows)
     assert warc.read_archive(*warc.write_archive(pages.limit(0), Scratch(spark, "t"))).count() == 0
+
+
+def test_warc_with_null_and_repeated_ids(spark):
+    """Rows that share an id with a copied page keep their own payloads and are told apart by them."""
+    a, b, c = ("<p>" + x * 2000 for x in "abc")
+    rows = [(1, a), (9, a), (1, c), (None, a), (None, b), (8, b), (None, "own"), (None, c + "!"), (2, "s"), (3, "s"), (2, "t")]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id bigint, url string, html string")
+    records, payloads = warc.write_archive(pages, Scratch(spark, "t"))
+    back = warc.read_archive(records, payloads).collect()
+    last = {a: 9, b: 8}
+    expected = [(k, "response" if last.get(h, k) == k else "revisit", None if last.get(h, k) == k else last[h], h) for k, h in rows]
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload).decode()) for r in back), key=str) == sorted(expected, key=str)
+    assert all(r.verified for r in back) and payloads.count() == len({h for _, h in rows})
