@@ -107,17 +107,25 @@ class ChunkEncoder:
 
 
 class TokenizerEncoder(ChunkEncoder):
-    """Chunks encoded by the tokenizers library; ``keep_blanks`` says whether blanks are part of the tokens."""
+    """Chunks encoded by the tokenizers library; ``keep_blanks`` says whether blanks are part of the tokens, and
+    ``special_as_text`` whether special tokens that a text quotes are plain text or, as the library has it by default,
+    tokens."""
 
-    def __init__(self, path: str, keep_blanks: bool, end_id: int | None):
+    def __init__(self, path: str, keep_blanks: bool, end_id: int | None, special_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.keep_blanks, self.tokenizer, self.cutter = keep_blanks, Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.mark, self.mark_id = next((t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized)
         self.lowers = not keep_blanks and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        super().__init__((SPACED if keep_blanks else BARE).findall, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
+        self.pattern, split = NOT_PLAIN[keep_blanks], (SPACED if keep_blanks else BARE).findall
+        if not special_as_text:  # a special token cuts a text before blanks do
+            marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+            cut, words = re.compile("(" + "|".join(sorted(marks, key=len, reverse=True)) + ")").split, split
+            split = lambda t: words(t) if "<|" not in t else [x for k, part in enumerate(cut(t)) for x in ([part] if k % 2 else words(part))]
+            self.pattern += r"|<\|"
+        super().__init__(split, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
 
     def _encode(self, fresh: list[str], joined: int = 64, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """``joined`` chunks become one input, each closed by a special token that cuts it off; a chunk that could hold
@@ -146,7 +154,7 @@ class TokenizerEncoder(ChunkEncoder):
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, "right")))
             run = texts.slice(at, end - at)
-            odd = pc.match_substring_regex(run, NOT_PLAIN[self.keep_blanks]).to_numpy(zero_copy_only=False)
+            odd = pc.match_substring_regex(run, self.pattern).to_numpy(zero_copy_only=False)
             plain, rest = iter(self._plain(run.filter(pa.array(~odd)))), iter(self.encode(run.filter(pa.array(odd)).to_pylist()))
             yield from (next(rest if o else plain) for o in odd.tolist())
             at = end
@@ -179,8 +187,8 @@ _ENCODERS: dict[tuple, TokenizerEncoder] = {}
 
 
 def encoder(path: str, keep_blanks: bool, end_id: int | None) -> TokenizerEncoder:
-    """One encoder per Python worker, whose cache serves all its tasks."""
+    """One encoder per Python worker, whose cache serves all its tasks; its ids are the library's by default."""
     key = (path, keep_blanks, end_id)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TokenizerEncoder(*key)
+        _ENCODERS[key] = TokenizerEncoder(*key, special_as_text=False)
     return _ENCODERS[key]

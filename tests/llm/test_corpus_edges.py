@@ -1,8 +1,10 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_corpus_queries import slow_components
+from tokenizers import Tokenizer
 
-from clausewell.llm import exact_dedup, licences, line_rules, ngram_join, packing, quality_qda, secret_forest, sentencepieces, token_files, warc
+from clausewell.llm import exact_dedup, licences, line_rules, ngram_join, packing, quality_qda, secret_forest, sentencepieces, token_cache, token_files, warc
 from clausewell.llm.common import Scratch
 
 BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -225,3 +227,21 @@ def test_warc_with_null_and_repeated_ids(spark):
     expected = [(k, "response" if last.get(h, k) == k else "revisit", None if last.get(h, k) == k else last[h], h) for k, h in rows]
     assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload).decode()) for r in back), key=str) == sorted(expected, key=str)
     assert all(r.verified for r in back) and payloads.count() == len({h for _, h in rows})
+
+
+@pytest.mark.parametrize("name, keep_blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_tokens_as_the_library_has_them(spark, name, keep_blanks):
+    """The queries' encoder gives the ids of the library's own call, for texts that quote special tokens, too."""
+    path = public_tokenizers.path(name)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"a{end}b", f"a  {end}  b", f"x \n{end}\n\n b", f"{start} a {end}", end.upper() + " A", f"<{end}>", "<|endof", f"a\t{end}　B c\n", "a <| b |>", "plain words", f"é́{end}́"]
+    library = Tokenizer.from_file(path)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in token_cache.encoder(path, keep_blanks, 1).each(pa.array(texts))] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    if keep_blanks:
+        found = {r.doc_id: list(r.ids) for r in packing.pack(docs, path, with_ids=True, end_id=1).collect()}
+    else:
+        found = {r.doc_id: r.n_tokens for r in token_files.read_files(token_files.write_files(docs, Scratch(spark, "t"), path, keep_blanks=False, end_id=1)).collect()}
+        want = [len(x) for x in want]
+    assert found == dict(enumerate(want))
