@@ -37,7 +37,7 @@ def op10_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read_archive(*warc.write_archive(_table(spark, sf_dir, "pages"), Scratch(spark, "warc")))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.proven(back).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_licence_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,3 +245,16 @@ def test_special_tokens_as_the_library_has_them(spark, name, keep_blanks):
         found = {r.doc_id: r.n_tokens for r in token_files.read_files(token_files.write_files(docs, Scratch(spark, "t"), path, keep_blanks=False, end_id=1)).collect()}
         want = [len(x) for x in want]
     assert found == dict(enumerate(want))
+
+
+def test_damaged_payloads_are_seen(spark):
+    """Both digests are computed anew: a damaged payload, or one under a wrong strong digest, is not verified."""
+    pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id bigint, url string, html string")
+    records, payloads = warc.write_archive(pages, Scratch(spark, "t"))
+    damaged = payloads.selectExpr("digest", "if(payload = binary('one'), binary('0ne'), payload) as payload")
+    moved = [t.selectExpr("replace(digest, substring(digest, 1, 8), 'moved') as digest", *[c for c in t.columns if c != "digest"]) for t in (records, payloads)]
+    assert {r.page_id: r.verified for r in warc.read_archive(records, damaged).collect()} == {1: False, 2: True}
+    assert not any(r.verified for r in warc.read_archive(*moved).collect())
+    assert warc.proven(warc.read_archive(records, payloads)).count() == 2
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.proven(warc.read_archive(records, damaged)).collect()
