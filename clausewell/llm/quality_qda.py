@@ -6,7 +6,8 @@ the logistic of the difference of the two log densities, whose Mahalanobis terms
 
 Defined cases: a null or empty text has zero statistics and is scored like any other; null labels are ignored;
 repeated rows count as often as they occur; with no labelled rows, or with one class alone, every score is the
-smoothed share of label 1; other columns of the input are never read.
+smoothed share of label 1; an empty table gives an empty result; other columns of the input are never read and may
+have any name that does not start with ``_cw_``.
 """
 
 from __future__ import annotations
@@ -124,25 +125,28 @@ def learnt_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, scratch, shrink: float = 0.2) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``.
+def learn(docs: DataFrame, labels: DataFrame, shrink: float, most_labelled: int) -> QuadraticModel:
+    """The model of the labelled rows of the learning folds, of at most ``most_labelled`` ids, those with the smallest hash.
 
-    The statistics of all documents are written once; the labelled rows of the learning folds join them on doc_id
-    as narrow rows, and the same table is then scored.
+    These ids, 16 bytes each, are broadcast, so the statistics are computed for labelled texts alone, where they stand.
     """
-    table = scratch.save(with_statistics(docs, ["doc_id"]), "statistics")
-    known = labels.filter(learnt_fold(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    model = fit(table.join(known, "doc_id"), "quality", shrink)
-    scored = table.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), model.score().alias("score"))
+    known = labels.filter(learnt_fold(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_cw_id"), F.col("quality").alias("_cw_quality"))
+    known = known.orderBy(F.xxhash64("_cw_id"), "_cw_id", "_cw_quality").limit(most_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_cw_id"))
+    return fit(with_statistics(rows, ["_cw_quality"]), "_cw_quality", shrink)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``."""
+    model = learn(docs, labels, shrink, most_labelled)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    scored = with_statistics(docs, ["doc_id"]).select("doc_id", held_out.alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, scratch, shrink: float = 0.2) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, unchanged. Texts are scored where they stand and never shuffled."""
-    known = labels.filter(learnt_fold(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_quality"))
-    table = scratch.save(with_statistics(docs.select("doc_id", "text"), ["doc_id"]), "statistics")
-    model = fit(table.join(known, "doc_id"), "_quality", shrink)
+    model = learn(docs, labels, shrink, most_labelled)
     found = zip(FEATURES, statistics(F.col("text"), F.col("_cw_words")), strict=True)
     wide = docs.withColumn("_cw_words", _words(F.col("text"))).withColumns({f"_cw_{f}": c for f, c in found})
     return wide.filter(model.score("_cw_") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
-
