@@ -9,6 +9,11 @@ hash, taken from prefix hashes, is looked up in the sorted keys of all pieces.
 * ``merges``: for files of the byte-pair type, whose ids the library finds by repeated best merges; a best path is
   not the same there. All rows lose one symbol a round, so they stay of equal length.
 
+Chunks of more than ``LONG`` characters, which hold no blank, are too few to advance together. They are cut where no
+piece can cross, which no path and no merge sees, and each part is walked position by position: a best path over the
+pieces that start there, and merges from a heap. Both take time in proportion to the text (times its logarithm for
+merges) and about 200 bytes a character of the longest part.
+
 Characters without a piece become their UTF-8 bytes' pieces where the model has these, else the unknown id. Decoding
 joins pieces, turns marks into spaces and drops the leading one. A text that itself holds the mark U+2581 decodes
 with spaces there, as in the library.
@@ -16,6 +21,7 @@ with spaces there, as in the library.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +35,9 @@ from clausewell.llm.token_cache import ChunkEncoder
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _P = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 UNKNOWN_PENALTY = 10.0
+LONG = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,6 +67,7 @@ class PieceTable:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.int64)[order]
         self.scores = np.array([model.get_score(i) for i in plain], np.float32)[order]
+        self.gains = self.scores.astype(np.float64).tolist()
         self.floor = np.float32(self.scores.min() - UNKNOWN_PENALTY)
         #: Where the keys with given 20 leading bits begin, and how many share them at most.
         slots = np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
@@ -75,11 +84,17 @@ class PieceTable:
         return _mix(np.array([value + np.uint64(len(piece))], np.uint64))[0]
 
     def prefix(self, points: np.ndarray) -> np.ndarray:
-        """Prefix hashes of rows of code points."""
-        out = np.zeros((points.shape[0], points.shape[1] + 1), np.uint64)
+        """Prefix hashes of rows of code points: value * P + point + 1 at every step."""
+        rows, n = points.shape
+        out = np.zeros((rows, n + 1), np.uint64)
         with np.errstate(over="ignore"):
-            for j in range(points.shape[1]):
-                out[:, j + 1] = out[:, j] * _P + points[:, j].astype(np.uint64) + np.uint64(1)
+            if n <= LONG:
+                for j in range(n):
+                    out[:, j + 1] = out[:, j] * _P + points[:, j].astype(np.uint64) + np.uint64(1)
+            else:  # the same as a sum of steps over powers of P, which has an inverse modulo 2^64
+                back = np.cumprod(np.full(n, _BACK))
+                sums = np.cumsum((points.astype(np.uint64) + np.uint64(1)) * back, axis=1)
+                out[:, 1:] = sums * np.cumprod(np.full(n, _P))
         return out
 
     def probe(self, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
@@ -170,6 +185,84 @@ def merges(table: PieceTable, chunks: list[str], lattice: np.ndarray) -> list[np
     return table.spell(chunks, lattice, cuts)
 
 
+def long_parts(chunk: str, lattice: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """A long chunk cut where no piece crosses, each part with its rows of the lattice [start, size - 1]."""
+    sizes = np.arange(1, lattice.shape[1] + 1)
+    reach = np.arange(len(chunk)) + np.where(lattice >= 0, sizes, 1).max(1)
+    cuts = np.flatnonzero(np.maximum.accumulate(reach) <= np.arange(1, len(chunk) + 1)) + 1
+    at = 0
+    for end in cuts.tolist():
+        yield chunk[at:end], lattice[at:end]
+        at = end
+
+
+def _pieces_at(lattice: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Per start the bounds of its entries in two lists: sizes, and places among the keys."""
+    start, size = np.nonzero(lattice >= 0)
+    return np.searchsorted(start, np.arange(len(lattice) + 1)).tolist(), (size + 1).tolist(), lattice[start, size].tolist()
+
+
+def walk_best(table: PieceTable, part: str, lattice: np.ndarray) -> np.ndarray:
+    """Where the pieces of the best path of one part start; the order of equals is that of ``viterbi``."""
+    bounds, sizes, places = _pieces_at(lattice)
+    gains, floor = table.gains, float(table.floor)
+    n = len(part)
+    best, back = [float("-inf")] * (n + 1), [1] * (n + 1)
+    best[0] = 0.0
+    for at in range(n):
+        here = best[at]
+        if here + floor >= best[at + 1]:
+            best[at + 1], back[at + 1] = here + floor, 1
+        for k in range(bounds[at], bounds[at + 1]):
+            end, score = at + sizes[k], here + gains[places[k]]
+            if score > best[end]:
+                best[end], back[end] = score, sizes[k]
+    cuts, at = np.zeros(n, bool), n
+    while at:
+        at -= back[at]
+        cuts[at] = True
+    return cuts
+
+
+def walk_merges(table: PieceTable, part: str, lattice: np.ndarray) -> np.ndarray:
+    """Where the symbols of one part start after all merges, the best score first, then the leftmost."""
+    n, most = lattice.shape
+    places, gains = memoryview(np.ascontiguousarray(lattice).ravel()), table.gains
+    size, before, cuts = [1] * n, list(range(-1, n - 1)), [True] * n
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(i: int, one: int, two: int) -> None:
+        if one + two <= most and (place := places[i * most + one + two - 1]) >= 0:
+            heapq.heappush(heap, (-gains[place], i, one, two))
+
+    for i in range(n - 1):
+        offer(i, 1, 1)
+    while heap:
+        _, i, one, two = heapq.heappop(heap)
+        j = i + one
+        if not cuts[i] or size[i] != one or not cuts[j] or size[j] != two:
+            continue  # one of the two has merged since
+        size[i], cuts[j] = one + two, False
+        after = i + size[i]
+        if after < n:
+            before[after] = i
+            offer(i, size[i], size[after])
+        if before[i] >= 0:
+            offer(before[i], size[before[i]], size[i])
+    return np.array(cuts)
+
+
+def long_ids(table: PieceTable, chunk: str, walk) -> np.ndarray:
+    """Ids of one long chunk, its parts walked one after the other."""
+    lattice, cuts = table.lattice([chunk]), []
+    for part, rows in long_parts(chunk, lattice[0]):
+        cuts.append(walk(table, part, rows))
+    return table.spell([chunk], lattice, np.concatenate(cuts)[None, :])[0]
+
+
+WALKS = {viterbi: walk_best, merges: walk_merges}
+
+
 class PieceEncoder(ChunkEncoder):
     """Whole texts to ids by one of the methods, and back."""
 
@@ -183,6 +276,10 @@ class PieceEncoder(ChunkEncoder):
         for k, x in enumerate(fresh):
             by.setdefault(len(x), []).append(k)
         for size, places in by.items():
+            if size > LONG:
+                for k in places:
+                    found[k] = long_ids(self.table, fresh[k], WALKS[self.method])
+                continue
             step = max(1, 60_000 // size)
             for at in range(0, len(places), step):
                 part = places[at : at + step]
