@@ -40,9 +40,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and return the written table."""
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        df.write.option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

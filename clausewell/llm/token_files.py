@@ -1,16 +1,18 @@
 """Token-id files: Arrow IPC files of fixed-size-list batches.
 
-Every file holds rows of ``length`` ids and as many mask bits, so row r of a batch starts at byte r * length * width of
-one buffer: a reader maps the file and slices, without copying or parsing. Documents follow one another without gaps,
-in ascending doc_id order over all files; a file's last row is padded and its padding masked out. A second small file
-beside it lists its documents (doc_id, start in the file, number of ids). Ids of vocabularies of up to 65,536 entries
-take two bytes.
+Every file holds rows of ``length`` ids and as many mask bytes, so row r of a batch starts at byte r * length * width of
+one buffer: a reader maps the file and slices ids and mask, without copying or parsing. Documents follow one another
+without gaps, in ascending doc_id order over all files; a file's last row is padded and its padding masked out. A second
+small file beside it lists its documents (doc_id, start in the file, number of ids). Ids of vocabularies of up to 65,536
+entries take two bytes.
 
-Files are written by the tasks of a range partitioning on doc_id, under the shared folder, first under the attempt's
-name and then moved, so a retried or speculative task leaves the same one file.
+Texts are encoded where they stand, once, into a written table of ids; only these, half a text's size, are dealt by
+ranges of doc_id. The number of files grows with the ids, ``FILE_TOKENS`` each on average. A task writes its file under
+the shared folder, first under the attempt's name and then moved, so a retried or speculative task leaves the same one.
 
 Defined cases: null text is the empty text, whose ids are the end id alone; repeated rows keep one entry each, next to
-each other; null ids come first; an empty table writes no files; other columns are never read.
+each other; null ids come first; texts of any length are encoded whole; an empty table writes no files; other columns
+are never read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from clausewell.llm.token_cache import encoder
 
 FILES = "part int, path string, n_docs bigint, n_tokens bigint"
 BATCH_ROWS = 64
+#: Ids of one file on average, 128 MB of two bytes each.
+FILE_TOKENS = 1 << 26
 
 
 def _filesystem(path: str):
@@ -43,7 +47,7 @@ class FileWriter:
 
     def __init__(self, sink, width: pa.DataType, length: int):
         self.length, self.width = length, width
-        self.schema = pa.schema([("ids", pa.list_(width, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(width, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.size = self.total = 0
@@ -59,7 +63,7 @@ class FileWriter:
         flat = np.concatenate(self.held)
         self.held, self.size = [flat[size:]], len(flat) - size
         flat = np.concatenate([flat[:size], np.zeros(padding, flat.dtype)]).astype(self.width.to_pandas_dtype())
-        mask = np.arange(len(flat)) < size
+        mask = (np.arange(len(flat)) < size).astype(np.uint8)
         for at in range(0, len(flat), BATCH_ROWS * self.length):
             end = at + BATCH_ROWS * self.length
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[at:end]), self.length) for x in (flat, mask)]
@@ -86,9 +90,13 @@ class FileReader:
         return self.flat
 
     def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of row ``r``."""
+        """The ids and the mask of row ``r``, both slices of the mapped file."""
         batch, k = self.file.get_batch(r // BATCH_ROWS), r % BATCH_ROWS
-        return batch.column(0)[k].values.to_numpy(), batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+        return batch.column(0)[k].values.to_numpy(), batch.column(1)[k].values.to_numpy()
+
+    def held(self) -> int:
+        """The number of ids that no mask hides."""
+        return sum(int(self.file.get_batch(k).column(1).flatten().to_numpy().sum(dtype=np.int64)) for k in range(self.file.num_record_batches))
 
     def ids(self, start: int, size: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, batch by batch."""
@@ -99,26 +107,44 @@ class FileReader:
             start, size = start + len(part), size - len(part)
 
 
+def encoded(docs: DataFrame, path: str, keep_blanks: bool, end_id: int) -> DataFrame:
+    """doc_id, n_tokens and ids, little-endian integers of the vocabulary's width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, keep_blanks, end_id)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [x.astype(coder.kind) for x in coder.each(part.column(1))]
+                sizes = pa.array([len(x) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+
+
 def write_files(docs: DataFrame, scratch: Scratch, path: str, keep_blanks: bool, end_id: int, length: int = 2048, files: int | None = None) -> DataFrame:
     """Write all documents; one row per file."""
     spark = docs.sparkSession
     folder = scratch.path("tokens")
-    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    kind = encoder(path, keep_blanks, end_id).kind
+    held = scratch.save(encoded(docs, path, keep_blanks, end_id), "encoded", compression="uncompressed")
+    total = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_TOKENS))
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
-        coder, context = encoder(path, keep_blanks, end_id), TaskContext.get()
-        width = pa.uint16() if coder.tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
+        context = TaskContext.get()
         part, out, ids, sizes = context.partitionId(), None, [], []
         name = f"{root}/part-{part:06d}"
         mine = f"{name}-{context.taskAttemptId()}.tmp"
         for batch in batches:
-            for key, found in zip(batch.column(0).to_pylist(), coder.each(batch.column(1)), strict=True):
+            for key, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(found.as_buffer(), kind)
                 if out is None:
                     stream = fs.open_output_stream(mine)
-                    out = FileWriter(stream, width, length)
+                    out = FileWriter(stream, pa.from_numpy_dtype(kind), length)
                 out.add(found)
                 ids.append(key)
                 sizes.append(len(found))
@@ -134,7 +160,7 @@ def write_files(docs: DataFrame, scratch: Scratch, path: str, keep_blanks: bool,
         fs.move(mine, f"{name}.arrow")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:06d}"], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([out.total], pa.int64())})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = held.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
     return scratch.save(dealt.mapInArrow(run, FILES), "files")
 
 
@@ -155,6 +181,8 @@ def read_files(files: DataFrame) -> DataFrame:
                     index = pa.ipc.open_file(source).read_all()
                 with where(f"{path}.arrow") as source:
                     reader, sums = FileReader(source), []
+                    if reader.held() != row["n_tokens"]:
+                        raise ValueError(f"masks and index of {path} disagree")
                     for start, size in zip(index["start"].to_pylist(), index["n_tokens"].to_pylist(), strict=True):
                         crc = 0
                         for part in reader.ids(start, size):
@@ -165,5 +193,5 @@ def read_files(files: DataFrame) -> DataFrame:
                     [index["doc_id"].combine_chunks(), pa.array(index["start"].to_numpy() + row["first"]), index["n_tokens"].combine_chunks(), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = starts.select("path", "first").repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
+    spread = starts.select("path", "first", "n_tokens").repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
