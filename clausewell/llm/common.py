@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlsplit
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,20 +73,55 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return near.unionByName(rest)
 
 
-def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, label: str, most_rounds: int = 60) -> DataFrame:
+#: Edges, of 16 bytes each, that one task may join; a larger graph takes rounds of joins.
+ONE_TASK = 1 << 20
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node that each reaches by them."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = np.split(places, 2)
+    parent = np.arange(len(nodes))
+    while True:
+        low = np.minimum(parent[u], parent[v])
+        new = parent.copy()
+        np.minimum.at(new, parent[u], low)
+        np.minimum.at(new, parent[v], low)
+        while not np.array_equal(new, jumped := new[new]):
+            new = jumped
+        if np.array_equal(new, parent):
+            return nodes, nodes[parent]
+        parent = new
+
+
+def contracted(edges: DataFrame, with_roots: bool) -> DataFrame:
+    """(a, b): every node of a task's edges, and the smallest node that it reaches by these edges alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(c.to_numpy() for c in batch.columns) for batch in batches]
+        if held:
+            nodes, roots = _roots(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            kept = np.ones(len(nodes), bool) if with_roots else nodes != roots
+            for at in range(0, int(kept.sum()), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept][at : at + 100_000]) for x in (nodes, roots)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, label: str, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the smallest node of its component.
 
-    ``edges`` has bigint columns a and b. Large-star and small-star steps alternate until the edges no longer
-    change; each step is one aggregation by node (the minimum is pre-aggregated before the shuffle) and one join
-    that attaches it, and every round is written to the shared folder, so lineage stays short. The number of
-    edges never grows.
+    ``edges`` has bigint columns a and b. Up to ``one_task`` edges, counted, are joined by one task. Of more, every task
+    first joins its own; then large-star and small-star steps alternate until the edges no longer change: each step is
+    one aggregation by node (the minimum is pre-aggregated before the shuffle) and one join that attaches it, and every
+    round is written to the shared folder, so lineage stays short. The number of edges never grows.
     """
-    now = scratch.save(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
+    edges = scratch.save(edges.filter("a <> b").select("a", "b"), f"{label}-edges")
+    if edges.count() <= one_task:
+        return scratch.save(contracted(edges.coalesce(1), True), f"{label}-roots").withColumnsRenamed({"a": "node", "b": "root"})
+    now = scratch.save(contracted(edges, False).distinct(), f"{label}-0")
     state = _signature(now)
     for k in range(1, most_rounds):
-        if not state[0]:
-            break
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
