@@ -14,17 +14,19 @@ def nearest(fraction: float) -> str:
 UPPER, LOWER = "n div 2", "(n - 1) div 2"
 
 
-def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, str], width: float = 1.0) -> DataFrame:
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, str], bins: int = 1024) -> DataFrame:
     """One row per group with its n and the value at each rank, SQL over n. Equal values are counted before any shuffle by rank;
-    a group's bins are ``width`` wide, and only bins and one bin's distinct values are ordered together."""
+    a group's range is cut into ``bins``, and only bins and one bin's distinct values are ordered together."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    counts = counts.withColumn("bin", F.floor(F.col("v") / width))
-    bins = counts.groupBy(group, "bin").agg(F.sum("c").alias("in_bin"))
-    bins = bins.withColumn("before", F.sum("in_bin").over(Window.partitionBy(group).orderBy("bin")) - F.col("in_bin"))
-    bins = bins.withColumn("n", F.sum("in_bin").over(Window.partitionBy(group)))
+    bounds = counts.groupBy(F.col(group).alias("of")).agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("width"))
+    counts = counts.join(bounds, F.col(group).eqNullSafe(F.col("of"))).withColumn("bin", F.when(F.col("width") > 0, F.floor((F.col("v") - F.col("lo")) / F.col("width"))).otherwise(0)).select(group, "v", "c", "bin")
+    sums = counts.groupBy(group, "bin").agg(F.sum("c").alias("in_bin"))
+    sums = sums.withColumn("before", F.sum("in_bin").over(Window.partitionBy(group).orderBy("bin")) - F.col("in_bin"))
+    sums = sums.withColumn("n", F.sum("in_bin").over(Window.partitionBy(group)))
     wanted = F.array(*(F.struct(F.lit(k).alias("name"), F.expr(r).alias("rank")) for k, r in ranks.items()))
-    bins = bins.withColumn("wanted", F.filter(wanted, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("in_bin"))))
-    inside = counts.join(bins.filter(F.size("wanted") > 0), [group, "bin"])
+    sums = sums.withColumn("wanted", F.filter(wanted, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("in_bin"))))
+    chosen = sums.filter(F.size("wanted") > 0).withColumnsRenamed({group: "of", "bin": "at"})
+    inside = counts.join(chosen, F.col(group).eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at")))
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(group, "bin").orderBy("v"))
     each = inside.withColumn("upto", upto).select(group, "n", "v", "c", "upto", F.explode("wanted").alias("w"))
     hit = each.filter((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("c")))

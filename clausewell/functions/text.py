@@ -62,16 +62,102 @@ def chunk_order(chunk_id: Column) -> Column:
     return F.coalesce(F.substring_index(chunk_id, "-", -1).try_cast("int"), F.lit(0))
 
 
-#: The named character references that pages use.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The named character references that pages use; numeric ones are read from their numbers.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&sect;", "§"), ("&para;", "¶"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&copy;", "©"), ("&reg;", "®"), ("&deg;", "°"), ("&middot;", "·"),
+    ("&frac12;", "½"), ("&cent;", "¢"), ("&eacute;", "é"), ("&amp;", "&"))
+#: Numeric references that pages of this corpus hold, decimal or hexadecimal, of printable characters.
+NUMERIC = r"&#(x[0-9a-fA-F]{1,5}|[0-9]{1,7});"
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters. A text without numeric references is not cut."""
+    parts, marks = F.split(text, NUMERIC), F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1))
+    code = lambda m: F.when(m.startswith("x"), F.conv(F.substring(m, 2, 5), 16, 10)).otherwise(m).cast("int")
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    joined = F.concat_ws("", F.transform(parts, lambda p, k: F.concat(p, F.coalesce(char(code(F.get(marks, k))), F.lit("")))))
+    out = F.when(text.rlike(NUMERIC), joined).otherwise(text)
+    for name, value in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(value))
+    return out
 
 
 def page_text(html: Column) -> Column:
     """Text of a page: block ends become line ends, tags go, blanks collapse, and blank lines are kept singly."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)</(div|p|h3|tr|table)>|<br[ \t\r\n]*/?>", "\n")
     text = F.regexp_replace(text, "<[^>]+>", "")
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    text = F.regexp_replace(text, "[ \\t\\u00a0]+", " ")
+    text = F.regexp_replace(unescaped(text), "[ \\t\\u00a0]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, " ?\\r?\\n ?", "\n"), "\\n{3,}", "\n\n")
     return F.regexp_replace(text, "^[ \\n]+|[ \\n]+$", "")
+
+
+#: Footers, wrappers, claims and what negates them.
+FOOTER = "\n\n**Statutes cited:**"
+SELF_NUMBERED = r"^\s*\d+\s*[.)]"
+CLAIMS = (
+    r"(?i)no violations|0 red flags|no red flags|nothing (?:is )?(?:wrong|missing|illegal)|fully compliant|entirely compliant|pre-?approved"
+    r"|no (?:issues|problems)(?: were)? (?:found|identified)")
+NEGATED = r"(?i)(?:not|n't|never|isn't|aren't|rather than|far from)\s+\S{0,15}$"
+PROBLEM = r"(?i)illegal|unenforceable|void|prohibit|violat|unlawful|not legal|conflict|not compliant|contrary to|breach"
+STATUTE = "https://app.leg.wa.gov/RCW/default.aspx?cite="
+
+
+def statute_url(citation: Column) -> Column:
+    """The address of a citation's section; empty for an empty citation."""
+    number = strip(F.regexp_replace(base_section(citation), r"^RCW\s*", ""))
+    return F.when(F.coalesce(number, F.lit("")) == "", "").otherwise(F.concat(F.lit(STATUTE), number))
+
+
+def section_name(stem: Column) -> Column:
+    """The citation of a file such as rcw-59-18-060."""
+    parts = F.split(stem, "-")
+    return F.concat(F.upper(F.get(parts, F.lit(0))), F.lit(" "), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "."))
+
+
+def leading_number(clause: Column) -> Column:
+    """The number before the first full stop when nothing but digits stands there, or null."""
+    return F.regexp_extract(strip(clause), r"^(\d{1,9})\.", 1).try_cast("int")
+
+
+def clause_label(clause: Column, index: Column) -> Column:
+    """The clause's place in the scan, or null when the clause prints a number of its own."""
+    return F.when(~clause.rlike(SELF_NUMBERED), F.concat(F.lit("Clause "), index.cast("string")))
+
+
+def clean(text: Column) -> Column:
+    """Without control and format characters, blanks collapsed."""
+    return strip(F.regexp_replace(F.regexp_replace(text, r"(?U)[\s]+", " "), r"\p{C}", ""))
+
+
+def without_footer(text: Column) -> Column:
+    """An answer before the footer that the engine adds to it."""
+    return F.substring_index(text, FOOTER, 1)
+
+
+def message_text(parts: Column) -> Column:
+    """The text of a message of parts (type, text): the texts of its text parts, joined."""
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")
+
+
+def adopted_claim(answer: Column) -> Column:
+    """The first claim of innocence that no negation stands before within 24 characters, or null."""
+    parts, found = F.split(answer, CLAIMS), F.regexp_extract_all(answer, F.lit(CLAIMS), F.lit(0))
+    before = F.transform(F.sequence(F.lit(0), F.size(found)), lambda k: F.right(F.concat_ws("", F.get(parts, k - 1), F.get(found, k - 1), F.get(parts, k)), F.lit(24)))
+    each = F.zip_with(found, before, lambda claim, left: F.when(claim.isNotNull() & ~left.rlike(NEGATED), claim))
+    return F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0))
+
+
+def answer_holds(answer: Column) -> Column:
+    """Whether an answer names a problem and adopts no claim of innocence."""
+    return adopted_claim(answer).isNull() & answer.rlike(PROBLEM)
+
+
+def fingerprint(configuration: Column) -> Column:
+    """The first twelve digits of the SHA-256 of a configuration."""
+    return F.substring(F.sha2(configuration, 256), 1, 12)
+
+
+def first_mentions(answer: Column) -> Column:
+    """The sections that an answer names, in the order of their first mention."""
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"RCW \d+\.\d+\.\d+"), F.lit(0)))

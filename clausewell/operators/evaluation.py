@@ -41,6 +41,13 @@ def votes(rows: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("status", F.when(F.col("agreed") == F.col("repeats"), "pass").when(F.col("agreed") == 0, "fail").otherwise("flapping"))
 
 
+def votes_by_kind(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """kind, questions and how many of them pass, fail or flap; a key belongs to one kind."""
+    kinds = rows.groupBy(key).agg(F.min(kind).alias(kind))
+    status = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return votes(rows, key).join(kinds, key).groupBy(kind).agg(F.count("*").alias("questions"), status("pass"), status("fail"), status("flapping"))
+
+
 def error_bound(wrong, n):
     """Upper bound of an error rate: 3 / n without errors, else the normal bound of 95 per cent."""
     p = wrong / n

@@ -4,6 +4,7 @@ lists, and completion of the sections of the best hits."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewell.functions.text import terms
+from clausewell.sources.tables import shared_folder
 
 K1, B = 1.5, 0.75
 #: Rows of query terms that may be broadcast, about 64 MB; beyond that the join is shuffled.
@@ -30,6 +32,34 @@ def postings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return found.groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """An inverted index in the shared folder, written once: a row per document and term, and two numbers."""
+
+    rows: DataFrame
+    keys: list[str]
+    n: int
+    mean: float
+
+
+def build_index(docs: DataFrame, keys: list[str], text: str = "text") -> Index:
+    """Cuts every text into terms once. A row holds a document's terms and counts; a document without terms counts in n and mean.
+
+    Counts are made inside a document's row, so nothing is shuffled; the lists are exploded by the readers.
+    """
+    spark = docs.sparkSession
+    where = shared_folder(spark, "index")
+    found = docs.select(*keys, F.array_sort(terms(F.col(text))).alias("ts"))
+    # of sorted terms the first of every run is kept, with the distance to the next run
+    starts = F.filter(F.sequence(F.lit(0), F.size("ts")), lambda k: (k == F.size("ts")) | (k == 0) | (F.get("ts", k) != F.get("ts", k - 1)))
+    found = found.select(*keys, "ts", F.size("ts").alias("length"), F.when(F.size("ts") > 0, starts).otherwise(F.array(F.lit(0))).alias("at"))
+    runs = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.struct(F.get("ts", a).alias("term"), (b - a).alias("tf")))
+    found.select(*keys, "length", runs.alias("counts")).write.parquet(where)
+    rows = spark.read.parquet(where)
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
+    return Index(rows, keys, stats["n"], stats["mean"])
+
+
 def idf(index: DataFrame, n_docs: int) -> DataFrame:
     """term, df and idf, which is never negative."""
     counts = index.groupBy("term").agg(F.count("*").alias("df"))
@@ -41,23 +71,27 @@ def top(rows: DataFrame, query: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query: str, keys: list[str], k: int, text: str = "text") -> DataFrame:
+def search(index: Index, queries: DataFrame, query: str, k: int) -> DataFrame:
     """query, keys, score and rank. Documents that share no term are never listed; of equal scores smaller keys come first.
 
     The statistics cover all documents. Only terms of some query are counted per document, so the shuffled postings
     are those that can score.
     """
+    keys = index.keys
     wanted = queries.select(query, F.explode(terms(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    stats = docs.select(F.size(terms(F.col(text))).alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
     vocabulary = bounded(wanted.select("term").distinct())
-    found = docs.select(*keys, terms(F.col(text)).alias("ts")).select(*keys, F.size("ts").alias("length"), F.explode("ts").alias("term"))
-    index = found.join(vocabulary, "term", "left_semi").groupBy(*keys, "length", "term").agg(F.count("*").alias("tf"))
-    weights = bounded(wanted.join(idf(index, stats["n"]), "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1.0))))
-    scores = index.join(weights, "term").groupBy(query, *keys).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    found = index.rows.select(*keys, "length", F.explode("counts").alias("c")).select(*keys, "length", "c.term", "c.tf").join(vocabulary, "term", "left_semi")
+    weights = bounded(wanted.join(idf(found, index.n), "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(index.mean or 1.0))))
+    scores = found.join(weights, "term").groupBy(query, *keys).agg(F.round(F.sum(part), DIGITS).alias("score"))
     return top(scores, query, [F.desc("score"), *keys], k)
 
 
+def bm25(queries: DataFrame, docs: DataFrame, query: str, keys: list[str], k: int, text: str = "text") -> DataFrame:
+    """``search`` over an index that is built for it."""
+    return search(build_index(docs, keys, text), queries, query, k)
+
+
 def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """Vectors as blocks of ``size``: ids and one matrix of doubles as bytes."""
 

@@ -1,5 +1,8 @@
 """All registered queries of the retrieval and clause engine, and their SQL."""
 
-from clausewell.queries import ORACLES, QUERIES
+from clausewell import queries, study_queries
+
+QUERIES = queries.QUERIES | study_queries.QUERIES
+ORACLES = queries.ORACLES | study_queries.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
