@@ -125,28 +125,26 @@ def learnt_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, shrink: float, most_labelled: int) -> QuadraticModel:
-    """The model of the labelled rows of the learning folds, of at most ``most_labelled`` ids, those with the smallest hash.
-
-    These ids, 16 bytes each, are broadcast, so the statistics are computed for labelled texts alone, where they stand.
-    """
+def learnt_labels(labels: DataFrame, most_labelled: int) -> DataFrame:
+    """_cw_id and _cw_quality of the learning folds, of at most ``most_labelled`` rows, those with the smallest hash: 16 bytes each, to be broadcast."""
     known = labels.filter(learnt_fold(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_cw_id"), F.col("quality").alias("_cw_quality"))
-    known = known.orderBy(F.xxhash64("_cw_id"), "_cw_id", "_cw_quality").limit(most_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_cw_id"))
-    return fit(with_statistics(rows, ["_cw_quality"]), "_cw_quality", shrink)
+    return F.broadcast(known.orderBy(F.xxhash64("_cw_id"), "_cw_id", "_cw_quality").limit(most_labelled))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``."""
-    model = learn(docs, labels, shrink, most_labelled)
+def quality_scores(docs: DataFrame, labels: DataFrame, scratch, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``. The statistics of all documents are computed and written once."""
+    table = scratch.save(with_statistics(docs, ["doc_id"]), "statistics")
+    model = fit(table.join(learnt_labels(labels, most_labelled), F.col("doc_id") == F.col("_cw_id")), "_cw_quality", shrink)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    scored = with_statistics(docs, ["doc_id"]).select("doc_id", held_out.alias("held_out"), model.score().alias("score"))
+    scored = table.select("doc_id", held_out.alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, unchanged. Texts are scored where they stand and never shuffled."""
-    model = learn(docs, labels, shrink, most_labelled)
+    """The rows of ``docs`` that the classifier accepts, unchanged. Texts are scored where they stand and never shuffled; the
+    fit computes the statistics of labelled texts alone."""
+    rows = docs.select("doc_id", "text").join(learnt_labels(labels, most_labelled), F.col("doc_id") == F.col("_cw_id"))
+    model = fit(with_statistics(rows, ["_cw_quality"]), "_cw_quality", shrink)
     found = zip(FEATURES, statistics(F.col("text"), F.col("_cw_words")), strict=True)
     wide = docs.withColumn("_cw_words", _words(F.col("text"))).withColumns({f"_cw_{f}": c for f, c in found})
     return wide.filter(model.score("_cw_") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
