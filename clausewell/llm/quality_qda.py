@@ -146,5 +146,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float
     rows = docs.select("doc_id", "text").join(learnt_labels(labels, most_labelled), F.col("doc_id") == F.col("_cw_id"))
     model = fit(with_statistics(rows, ["_cw_quality"]), "_cw_quality", shrink)
     found = zip(FEATURES, statistics(F.col("text"), F.col("_cw_words")), strict=True)
-    wide = docs.withColumn("_cw_words", _words(F.col("text"))).withColumns({f"_cw_{f}": c for f, c in found})
+    # a generator of one row keeps the filter from being pushed below the statistics: the score names each of them some
+    # twenty times, and the code generated for all these copies takes much memory to compile
+    each = F.explode(F.array(F.struct(*(c.alias(f"_cw_{f}") for f, c in found)))).alias("_cw_found")
+    wide = docs.withColumn("_cw_words", _words(F.col("text"))).select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns], "_cw_found.*")
     return wide.filter(model.score("_cw_") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

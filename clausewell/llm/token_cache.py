@@ -115,7 +115,8 @@ class TokenizerEncoder(ChunkEncoder):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
-        self.keep_blanks, self.tokenizer, self.cutter = keep_blanks, Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.keep_blanks, self.tokenizer = keep_blanks, Tokenizer.from_file(path)
+        self.cutter = Tokenizer.from_file(path) if special_as_text else self.tokenizer
         self.tokenizer.encode_special_tokens = special_as_text
         self.mark, self.mark_id = next((t.content, k) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized)
         self.lowers = not keep_blanks and self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
