@@ -41,6 +41,19 @@ SENTENCES = {
     "gpl-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
+    "gpl2-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "lgpl21-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl3-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means",
+    "zlib-as-is": "this software is provided as-is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-note": "distributed under the boost software license version 1.0",
     "cc-by-nc4-note": "licensed under cc by-nc 4.0",
     "cc-by4-note": "licensed under cc by 4.0",
     "cc-by-sa4-note": "licensed under cc by-sa 4.0",
@@ -68,6 +81,18 @@ RULES = [
     ("GPL-3.0-or-later", "header", ["gpl-redistribute", "gpl-hope", "gpl-see"]),
     ("GPL-3.0-or-later", "short header", ["gpl-redistribute"]),
     ("GPL-3.0-only", "notice", ["gpl3-note"]),
+    ("GPL-2.0-or-later", "header", ["gpl2-redistribute", "gpl-hope", "gpl-see"]),
+    ("GPL-2.0-or-later", "short header", ["gpl2-redistribute"]),
+    ("AGPL-3.0-or-later", "header", ["agpl-redistribute", "gpl-hope", "agpl-see"]),
+    ("AGPL-3.0-or-later", "short header", ["agpl-redistribute"]),
+    ("LGPL-2.1-or-later", "header", ["lgpl21-redistribute", "lgpl-hope", "lgpl-see"]),
+    ("LGPL-2.1-or-later", "short header", ["lgpl21-redistribute"]),
+    ("LGPL-3.0-or-later", "header", ["lgpl3-redistribute", "lgpl-hope", "lgpl-see"]),
+    ("LGPL-3.0-or-later", "short header", ["lgpl3-redistribute"]),
+    ("Unlicense", "full text", ["unlicense-domain", "unlicense-anyone"]),
+    ("Unlicense", "notice", ["unlicense-domain"]),
+    ("Zlib", "full text", ["zlib-as-is", "zlib-liable", "zlib-grant"]),
+    ("BSL-1.0", "notice", ["boost-note"]),
     ("CC-BY-NC-4.0", "notice", ["cc-by-nc4-note"]),
     ("CC-BY-NC-4.0", "notice", ["cc-by-nc4-long"]),
     ("CC-BY-SA-4.0", "notice", ["cc-by-sa4-note"]),
@@ -80,8 +105,8 @@ RULES = [
     ("MPL-2.0", "notice", ["mpl-note"]),
 ]
 
-#: Every known sentence holds one of these.
-TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty|cc by"
+#: Every rule has a sentence that holds one of these.
+TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty|cc by|unencumbered"
 #: A sentence ends at a line break, or after . ! ? ; or : before a blank. The list markers of licence texts stand alone.
 STOP = r"\n+|(?<=[.!?;:])[\x20\x09-\x0D]+"
 #: An empty line between two parts.
