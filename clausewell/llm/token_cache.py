@@ -147,7 +147,7 @@ class TokenizerEncoder(ChunkEncoder):
             parts.insert(k, np.array(e.ids, np.int64))
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
-    def each(self, texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[np.ndarray]:
+    def each(self, texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[np.ndarray]:
         """The id array of every text in turn; texts are encoded in runs of about ``most_bytes``, or one at a time."""
         texts = pc.fill_null(texts, "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -158,6 +158,7 @@ class TokenizerEncoder(ChunkEncoder):
             odd = pc.match_substring_regex(run, self.pattern).to_numpy(zero_copy_only=False)
             plain, rest = iter(self._plain(run.filter(pa.array(~odd)))), iter(self.encode(run.filter(pa.array(odd)).to_pylist()))
             yield from (next(rest if o else plain) for o in odd.tolist())
+            pa.default_memory_pool().release_unused()  # the pool would keep a run's tables, some 100 MB in all
             at = end
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
