@@ -1,8 +1,8 @@
 """All registered queries of the retrieval and clause engine, and their SQL."""
 
-from clausewell import queries, study_queries
+from clausewell import intake_queries, queries, study_queries
 
-QUERIES = queries.QUERIES | study_queries.QUERIES
-ORACLES = queries.ORACLES | study_queries.ORACLES
+QUERIES = queries.QUERIES | study_queries.QUERIES | intake_queries.QUERIES
+ORACLES = queries.ORACLES | study_queries.ORACLES | intake_queries.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
