@@ -21,7 +21,6 @@ from clausewell.llm.common import Scratch
 from clausewell.llm.places import placed
 
 ARITY, HEIGHT = 8, 4
-LEAVES = ARITY**HEIGHT
 #: Columns of a leaf, in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 BLOCK = "key string, block bigint, total bigint, height int, nodes binary, root string"
@@ -48,10 +47,10 @@ def _addresses(levels: int) -> list[np.ndarray]:
     return [address(levels, depth, np.arange(ARITY**depth)) for depth in range(levels)]
 
 
-def height_of(total: int) -> int:
+def height_of(total: int, most: int = HEIGHT) -> int:
     """How many times runs of eight are hashed in a block of a tree with ``total`` nodes in this round."""
     height = 0
-    while ARITY**height < min(total, LEAVES):
+    while height < most and ARITY**height < total:
         height += 1
     return height
 
@@ -105,35 +104,36 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _round(leaves: DataFrame, scratch: Scratch, label: str, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Written blocks of rows (key, place, total, leaf); columns ``carried`` become lists in the order of the leaves."""
+def _round(leaves: DataFrame, scratch: Scratch, label: str, most: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Written blocks of ``most`` levels above rows (key, place, total, leaf); columns ``carried`` become lists in the order of the leaves."""
     kinds = dict(leaves.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
         total = table["total"][0].as_py()
-        height = height_of(total)
+        height = height_of(total, most)
         nodes, root = build(table["leaf"].to_pylist(), height)
         out = {"key": table["key"][:1], "block": table["block"][:1], "total": [total], "height": pa.array([height], pa.int32()), "nodes": [nodes], "root": [root]}
         return pa.table(out | {c: pa.array([table[c].to_pylist()], pa.list_(table.schema.field(c).type)) for c in ("leaf", *carried)})
 
     schema = BLOCK + "".join(f", {c} array<{kinds[c]}>" for c in ("leaf", *carried))
-    rows = leaves.select("key", F.floor(F.col("place") / LEAVES).alias("block"), "place", "total", "leaf", *carried)
+    rows = leaves.select("key", F.floor(F.col("place") / ARITY**most).alias("block"), "place", "total", "leaf", *carried)
     return scratch.save(rows.groupBy("key", "block").applyInArrow(run, schema), label)
 
 
-def grown(leaves: DataFrame, scratch: Scratch, label: str, carried: tuple[str, ...] = ()) -> list[DataFrame]:
+def grown(leaves: DataFrame, scratch: Scratch, label: str, most: int, carried: tuple[str, ...] = ()) -> list[DataFrame]:
     """The blocks of all rounds over rows (key, place, total, leaf), lowest first."""
-    rounds = [_round(leaves, scratch, f"{label}-0", carried)]
-    while not (more := rounds[-1].filter(F.col("total") > LEAVES)).isEmpty():
-        next_total = F.ceil(F.col("total") / LEAVES)
-        rounds.append(_round(more.select("key", F.col("block").alias("place"), next_total.alias("total"), F.col("root").alias("leaf")), scratch, f"{label}-{len(rounds)}"))
+    rounds = [_round(leaves, scratch, f"{label}-0", most, carried)]
+    while not (more := rounds[-1].filter(F.col("total") > ARITY**most)).isEmpty():
+        next_total = F.ceil(F.col("total") / ARITY**most)
+        upper = more.select("key", F.col("block").alias("place"), next_total.alias("total"), F.col("root").alias("leaf"))
+        rounds.append(_round(upper, scratch, f"{label}-{len(rounds)}", most))
     return rounds
 
 
-def top_rows(rounds: list[DataFrame]) -> DataFrame:
+def top_rows(rounds: list[DataFrame], most: int) -> DataFrame:
     """(key, root): the last node of every tree."""
-    found = [r.filter(F.col("total") <= LEAVES).select("key", "root") for r in rounds]
+    found = [r.filter(F.col("total") <= ARITY**most).select("key", "root") for r in rounds]
     for one in found[1:]:
         found[0] = found[0].unionByName(one)
     return found[0]
@@ -142,7 +142,7 @@ def top_rows(rounds: list[DataFrame]) -> DataFrame:
 ABOVE = "array<struct<l: string, r: string>>"
 
 
-def _paths(blocks: DataFrame) -> DataFrame:
+def _paths(blocks: DataFrame, most: int) -> DataFrame:
     """(key, block, above) of the blocks below: the siblings on the way from each block root up, those of ``blocks`` first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,47 +150,47 @@ def _paths(blocks: DataFrame) -> DataFrame:
             for key, block, height, nodes, leaves, above in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 path = [[{"l": a, "r": b} for a, b in own] + above for own in siblings(nodes, leaves, height)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * leaves, pa.string()), pa.array(np.arange(leaves) + block * LEAVES), pa.array(path, pa.list_(pa.struct({"l": pa.string(), "r": pa.string()})))],
+                    [pa.array([key] * leaves, pa.string()), pa.array(np.arange(leaves) + block * ARITY**most), pa.array(path, pa.list_(pa.struct({"l": pa.string(), "r": pa.string()})))],
                     names=["key", "block", "above"])
 
     return blocks.select("key", "block", "height", "nodes", F.size("leaf"), "above").mapInArrow(run, f"key string, block bigint, above {ABOVE}")
 
 
-def with_above(rounds: list[DataFrame], tops: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+def with_above(rounds: list[DataFrame], tops: DataFrame, scratch: Scratch, label: str, most: int) -> DataFrame:
     """The lowest round's blocks with the siblings above each: ``tops`` (key, above) stand above the last node of a tree."""
     below: DataFrame | None = None
     for k in range(len(rounds) - 1, -1, -1):
-        ends = rounds[k].filter(F.col("total") <= LEAVES).select("key", "block").join(tops, "key")
+        ends = rounds[k].filter(F.col("total") <= ARITY**most).select("key", "block").join(tops, "key")
         known = ends if below is None else ends.unionByName(below)
         blocks = rounds[k].join(known, ["key", "block"])
         if k == 0:
             return blocks
-        below = scratch.save(_paths(blocks), f"{label}-above-{k}")
+        below = scratch.save(_paths(blocks, most), f"{label}-above-{k}")
     raise ValueError("no rounds")
 
 
-def manifest(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def manifest(docs: DataFrame, scratch: Scratch, most: int = HEIGHT) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row of ``docs``.
 
     Rows are the leaves of the tree of their language, in the order of doc_id (null first; repeated ids by their leaf).
     A null language is a tree of its own, the first one. Null and empty fields hash apart. Rows without an id are never
-    tampered with. An empty table gives no rows; other columns are not read.
+    tampered with. An empty table gives no rows; other columns are not read. ``most``: levels of a block.
     """
     changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf_hash(lower_ascii(F.col("text"))))
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
     rows = scratch.save(docs.select("doc_id", key.alias("key"), leaf_hash(F.col("text")).alias("leaf"), changed.alias("changed")), "leaves")
     rows = placed(rows, [F.asc("key"), F.asc_nulls_first("doc_id"), F.asc("leaf"), F.asc("changed")], scratch, "placed", "key")
-    trees = grown(rows, scratch, "tree", ("doc_id", "changed"))
+    trees = grown(rows, scratch, "tree", most, ("doc_id", "changed"))
     # the trees' last nodes, in the order of their languages, are the leaves of one tree more
-    subroots = scratch.save(top_rows(trees), "subroots")
+    subroots = scratch.save(top_rows(trees, most), "subroots")
     named = placed(subroots.withColumnRenamed("root", "leaf"), [F.asc("key")], scratch, "placed-subroots")
-    crown = grown(named.withColumn("name", F.col("key")).withColumn("key", F.lit("")), scratch, "crown", ("name",))
-    root = top_rows(crown).first()
+    crown = grown(named.withColumn("name", F.col("key")).withColumn("key", F.lit("")), scratch, "crown", most, ("name",))
+    root = top_rows(crown, most).first()
     none = docs.sparkSession.createDataFrame([("", [])], f"key string, above {ABOVE}")
-    crowned = scratch.save(with_above(crown, none, scratch, "crown"), "crowned")
+    crowned = scratch.save(with_above(crown, none, scratch, "crown", most), "crowned")
     places = named.select("key", F.col("place").alias("block")).withColumnRenamed("key", "name")
-    tops = places.join(_paths(crowned).drop("key"), "block").select(F.col("name").alias("key"), "above").join(subroots.withColumnRenamed("root", "subroot"), "key")
-    lowest = with_above(trees, tops.select("key", "above"), scratch, "tree").join(tops.select("key", "subroot"), "key")
+    tops = places.join(_paths(crowned, most).drop("key"), "block").select(F.col("name").alias("key"), "above").join(subroots.withColumnRenamed("root", "subroot"), "key")
+    lowest = with_above(trees, tops.select("key", "above"), scratch, "tree", most).join(tops.select("key", "subroot"), "key")
     last = root["root"] if root else ""
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
