@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewell.functions.text import terms
@@ -49,7 +49,7 @@ def build_index(docs: DataFrame, keys: list[str], text: str = "text") -> Index:
     """
     spark = docs.sparkSession
     where = shared_folder(spark, "index")
-    found = docs.select(*keys, F.array_sort(terms(F.col(text))).alias("ts"))
+    found = docs.select(*keys, F.sort_array(terms(F.col(text))).alias("ts"))
     # of sorted terms the first of every run is kept, with the distance to the next run
     starts = F.filter(F.sequence(F.lit(0), F.size("ts")), lambda k: (k == F.size("ts")) | (k == 0) | (F.get("ts", k) != F.get("ts", k - 1)))
     found = found.select(*keys, "ts", F.size("ts").alias("length"), F.when(F.size("ts") > 0, starts).otherwise(F.array(F.lit(0))).alias("at"))
@@ -66,6 +66,11 @@ def idf(index: DataFrame, n_docs: int) -> DataFrame:
     return counts.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def saturation(mean: float) -> Column:
+    """What a term's count adds to a document's score, before the term's weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
+
+
 def top(rows: DataFrame, query: str, order: list, k: int) -> DataFrame:
     """The first ``k`` rows of every query, ``rank`` from 1."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).filter(F.col("rank") <= k)
@@ -78,12 +83,17 @@ def search(index: Index, queries: DataFrame, query: str, k: int) -> DataFrame:
     are those that can score.
     """
     keys = index.keys
+    where = shared_folder(queries.sparkSession, "search")
     wanted = queries.select(query, F.explode(terms(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    wanted.write.parquet(f"{where}/wanted")
+    wanted = queries.sparkSession.read.schema(wanted.schema).parquet(f"{where}/wanted")
     vocabulary = bounded(wanted.select("term").distinct())
     found = index.rows.select(*keys, "length", F.explode("counts").alias("c")).select(*keys, "length", "c.term", "c.tf").join(vocabulary, "term", "left_semi")
+    # the lists of all documents are gone through once; frequencies and scores come from what is wanted of them
+    found.write.parquet(f"{where}/postings")
+    found = queries.sparkSession.read.schema(found.schema).parquet(f"{where}/postings")
     weights = bounded(wanted.join(idf(found, index.n), "term").select(query, "term", (F.col("qtf") * F.col("idf")).alias("weight")))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(index.mean or 1.0))))
-    scores = found.join(weights, "term").groupBy(query, *keys).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    scores = found.join(weights, "term").groupBy(query, *keys).agg(F.round(F.sum(F.col("weight") * saturation(index.mean)), DIGITS).alias("score"))
     return top(scores, query, [F.desc("score"), *keys], k)
 
 

@@ -1,8 +1,9 @@
 """All registered queries of the retrieval and clause engine, and their SQL."""
 
-from clausewell import intake_queries, queries, study_queries
+from clausewell import index_queries, intake_queries, queries, study_queries
 
-QUERIES = queries.QUERIES | study_queries.QUERIES | intake_queries.QUERIES
-ORACLES = queries.ORACLES | study_queries.ORACLES | intake_queries.ORACLES
+MODULES = (queries, study_queries, intake_queries, index_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
 __all__ = ["ORACLES", "QUERIES"]
