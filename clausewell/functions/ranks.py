@@ -14,12 +14,18 @@ def nearest(fraction: float) -> str:
 UPPER, LOWER = "n div 2", "(n - 1) div 2"
 
 
-def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, str], bins: int = 1024) -> DataFrame:
-    """One row per group with its n and the value at each rank, SQL over n. Equal values are counted before any shuffle by rank;
-    a group's range is cut into ``bins``, and only bins and one bin's distinct values are ordered together."""
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, str], bins: int = 128) -> DataFrame:
+    """One row per group with its n and the value at each rank, SQL over n, exact.
+
+    Equal values are counted before any shuffle by rank. A group's distinct values are cut into ``bins`` of about as many
+    each, however far its outliers lie, by bounds from a mergeable quantile sketch; the bins are then counted exactly, and
+    only bins, and the distinct values of the bins that hold a wanted rank, are ordered together.
+    """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    bounds = counts.groupBy(F.col(group).alias("of")).agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("width"))
-    counts = counts.join(bounds, F.col(group).eqNullSafe(F.col("of"))).withColumn("bin", F.when(F.col("width") > 0, F.floor((F.col("v") - F.col("lo")) / F.col("width"))).otherwise(0)).select(group, "v", "c", "bin")
+    cuts = ", ".join(f"{k / bins}D" for k in range(1, bins))
+    bounds = counts.groupBy(F.col(group).alias("of")).agg(F.expr(f"array_distinct(percentile_approx(v, array({cuts}), {8 * bins}))").alias("bounds"))
+    counts = counts.join(bounds, F.col(group).eqNullSafe(F.col("of")))
+    counts = counts.select(group, "v", "c", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("bin"))
     sums = counts.groupBy(group, "bin").agg(F.sum("c").alias("in_bin"))
     sums = sums.withColumn("before", F.sum("in_bin").over(Window.partitionBy(group).orderBy("bin")) - F.col("in_bin"))
     sums = sums.withColumn("n", F.sum("in_bin").over(Window.partitionBy(group)))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewell.functions.text import page_text, strip
+from clausewell.operators.places import numbered_rows
 
 METADATA = ("type", "state", "source", "section", "title", "url")
 #: Limits of the chunk check: a text of more than LONE characters needs two chunks, and no chunk may exceed LONGEST.
 LONE, LONGEST = 2000, 3000
-#: How a section's page begins, and the lines that are no caption.
-HEADING = "# RCW {0} — {1}\n\nSource: https://app.leg.wa.gov/RCW/default.aspx?cite={0}\nJurisdiction: Washington State (Residential Landlord-Tenant Act)\n\n{2}\n"
+#: The address and the jurisdiction in the head of a section's document, and the lines that are no caption.
+SOURCE, JURISDICTION = "https://app.leg.wa.gov/RCW/default.aspx?cite=", "Washington State (Residential Landlord-Tenant Act)"
 NO_CAPTION = ("html", "pdf")
 
 
@@ -49,25 +54,15 @@ def rendered(sections: DataFrame) -> DataFrame:
     text = strip(F.regexp_replace(page_text(F.col("fragment")), F.concat(F.lit(r"^(HTML|PDF)*\s*(RCW\s*)?\Q"), "section", F.lit(r"\E\s*")), F.lit("")))
     wide = sections.withColumn("text", text).withColumn("title", section_title(F.col("text"), F.col("section")))
     name = F.concat(F.lit("rcw-"), F.replace("section", F.lit("."), F.lit("-")), F.lit(".md"))
-    parts = HEADING.replace("{0}", "\x00").replace("{1}", "\x01").replace("{2}", "\x02")
-    content = F.lit(parts)
-    for mark, column in (("\x00", "section"), ("\x01", "title"), ("\x02", "text")):
-        content = F.replace(content, F.lit(mark), F.col(column))
+    head = (F.lit("# RCW "), "section", F.lit(" — "), "title", F.lit("\n\nSource: " + SOURCE), "section", F.lit(f"\nJurisdiction: {JURISDICTION}\n\n"))
+    content = F.concat(*head, "text", F.lit("\n"))
     return wide.select("section", name.alias("name"), "title", content.alias("content"))
 
 
 def numbered(chunks: DataFrame, state: str, order: list) -> DataFrame:
-    """``chunks`` with chunk_id ``<state>-<n>``, n from 0 in the given order (the first of ``order`` deals the rows in ranges)."""
-    blocks = chunks.groupBy(order[0]).agg(F.count("*").alias("rows"))
-    # running totals per range first, then of the ranges, so that no task orders the whole corpus
-    ranged = blocks.withColumn("range", F.floor(F.col(order[0]) / 10_000))
-    ranges = ranged.groupBy("range").agg(F.sum("rows").alias("in_range"))
-    ranges = ranges.withColumn("range_before", F.sum("in_range").over(Window.orderBy("range")) - F.col("in_range"))
-    inside = ranged.join(F.broadcast(ranges.select("range", "range_before")), "range")
-    inside = inside.withColumn("before", F.col("range_before") + F.sum("rows").over(Window.partitionBy("range").orderBy(order[0])) - F.col("rows"))
-    placed = chunks.join(inside.select(order[0], "before"), order[0])
-    n = F.col("before") + F.row_number().over(Window.partitionBy(order[0]).orderBy(*order)) - 1
-    return placed.withColumn("chunk_id", F.concat(F.lit(f"{state}-"), n.cast("string"))).drop("before")
+    """``chunks`` with chunk_id ``<state>-<n>``, n from 0 in the given order."""
+    placed = numbered_rows(chunks, order, "_cw_n")
+    return placed.withColumn("chunk_id", F.concat(F.lit(f"{state}-"), F.col("_cw_n").cast("string"))).drop("_cw_n")
 
 
 def spliced(entries: DataFrame, section: str, units: DataFrame, state: str) -> DataFrame:
@@ -87,6 +82,38 @@ def spliced(entries: DataFrame, section: str, units: DataFrame, state: str) -> D
     return every.withColumn("chunk_id", F.concat(F.lit(f"{state}-"), F.col("position").cast("string")))
 
 
+#: A diff keeps one line around what changed, and so many lines in all.
+AROUND, MOST_LINES = 1, 24
+
+
+def _diff(old: str, new: str, name: str) -> str:
+    lines = list(difflib.unified_diff(old.splitlines(), new.splitlines(), f"committed/{name}", f"live/{name}", lineterm="", n=AROUND))
+    if len(lines) > MOST_LINES:
+        lines = [*lines[:MOST_LINES], f"… {len(lines) - MOST_LINES} more diff lines"]
+    return "\n".join(lines)
+
+
+def drift_diffs(live: DataFrame, committed: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key``, diff, added and removed of every document that both sides hold with different texts.
+
+    Which documents differ is told by the join alone; the line diff is made for these. ``added`` and ``removed`` count the
+    diff's lines before it is cut. Null is the empty text.
+    """
+    old = committed.select(F.col(key).alias("_cw_key"), F.coalesce(text, F.lit("")).alias("old"))
+    pairs = live.select(key, F.coalesce(text, F.lit("")).alias("new")).join(old, F.col(key) == F.col("_cw_key")).filter("old <> new").select(key, "old", "new")
+    kind = dict(live.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, old, new in zip(frame[key], frame["old"], frame["new"], strict=True):
+                lines = [x for x in difflib.unified_diff(old.splitlines(), new.splitlines(), lineterm="", n=0)][2:]
+                rows.append((name, _diff(old, new, str(name)), sum(x.startswith("+") for x in lines), sum(x.startswith("-") for x in lines)))
+            yield pd.DataFrame(rows, columns=[key, "diff", "added", "removed"])
+
+    return pairs.mapInPandas(run, f"{key} {kind}, diff string, added int, removed int")
+
+
 def drift_allowed(live: DataFrame, committed: DataFrame, least: float = 0.9) -> bool:
     """Whether enough was read to speak of drift; fewer than ``least`` of the committed documents is a failed read."""
     return live.count() >= least * committed.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,26 @@ def corpus_changes(live: DataFrame, committed: DataFrame, key: str) -> DataFrame
     side = lambda df, name: df.select(key, F.sha2(F.coalesce("text", F.lit("")), 256).alias(name))
     both = side(live, "new").join(side(committed, "old"), key, "full_outer")
     return both.select(key, F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("same").alias("change"))
+
+
+def partitioned(rows: DataFrame, kept: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that are kept and the others; a null verdict keeps nothing, so that every row is on one side."""
+    good = F.coalesce(kept, F.lit(False))
+    return rows.filter(good), rows.filter(~good)
+
+
+def reviewed(reviews: DataFrame, cases: DataFrame, question: str = "question") -> DataFrame:
+    """Reviews with the case of their question; reviews of unknown questions go, and of repeated cases the smallest id counts."""
+    one = cases.groupBy(question).agg(F.min_by(F.struct(*[c for c in cases.columns if c != question]), "case_id").alias("case"))
+    return reviews.join(one, question).select(*reviews.columns, "case.*")
+
+
+def answer_order() -> list[Column]:
+    """The order of a list of judged answers: those that are not consistent first, then by section."""
+    return [F.when(F.col("verdict").eqNullSafe("consistent"), 1).otherwise(0), F.asc_nulls_first("section")]
+
+
+def stage_costs(calls: DataFrame, key: str, stage: str, tokens: str, last: str) -> DataFrame:
+    """Tokens of each ``key``: in all, before the stage ``last``, and of that stage, the difference of the two."""
+    sums = calls.groupBy(key).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~F.col(stage).eqNullSafe(last), F.col(tokens))), F.lit(0)).alias("before"))
+    return sums.withColumn("own", F.col("total") - F.col("before"))

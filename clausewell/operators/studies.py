@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewell.functions.ranks import UPPER, at_ranks
+from clausewell.functions.ranks import LOWER, UPPER, at_ranks
+from clausewell.operators.places import numbered_rows
 
 
 def ranks_by_section(expected: DataFrame, hits: DataFrame) -> DataFrame:
@@ -125,7 +126,11 @@ def carried(results: DataFrame, previous: DataFrame, key: str, paid: list[str])
 
 def compared(rows: DataFrame, config: str, one: str, two: str, value: str) -> DataFrame:
     """Mean and true median of ``value`` under two configurations, side by side, with the ratio of means and of medians."""
-    per = rows.filter(F.col(config).isin(one, two)).groupBy().pivot(config, [one, two]).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
+    chosen = rows.filter(F.col(config).isin(one, two))
+    middle = at_ranks(chosen, config, value, {"low": LOWER, "high": UPPER}).select(config, ((F.col("low") + F.col("high")) / 2).alias("median"))
+    both = chosen.groupBy(config).agg(F.avg(value).alias("mean")).join(middle, config)
+    side = lambda name, m: F.max(F.when(F.col(config) == name, F.col(m))).alias(f"{name}_{m}")
+    per = both.agg(*(side(name, m) for name in (one, two) for m in ("mean", "median")))
     a, b = (lambda m: F.col(f"{one}_{m}")), (lambda m: F.col(f"{two}_{m}"))
     return per.select(
         *(F.round(side(m), 6).alias(f"{name}_{m}") for name, side in (("one", a), ("two", b)) for m in ("mean", "median")),
@@ -140,11 +145,6 @@ def waves(clauses: Column, seconds: Column, threads: int = 8) -> Column:
 def staircase(rows: DataFrame, running: int, threads: int = 8) -> DataFrame:
     """Documents (id, clauses, seconds per clause) in a queue served ``running`` at a time by id: round, its own time and the wait before it."""
     timed = rows.withColumn("own", waves(F.col("clauses"), F.col("seconds"), threads))
-    # positions come from counts per block of ids, so that no task orders all rows
-    block = F.floor(F.col("id") / 100_000)
-    blocks = timed.groupBy(block.alias("block")).agg(F.count("*").alias("rows"))
-    before = blocks.withColumn("before", F.sum("rows").over(Window.orderBy("block")) - F.col("rows")).drop("rows")
-    placed = timed.withColumn("block", block).join(F.broadcast(before), "block")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
-    rounds = placed.withColumn("round", F.floor(place / running)).groupBy("round").agg(F.count("*").alias("documents"), F.max("own").alias("longest"))
+    placed = numbered_rows(timed, ["id"])
+    rounds = placed.withColumn("round", F.floor(F.col("place") / running)).groupBy("round").agg(F.count("*").alias("documents"), F.max("own").alias("longest"))
     return rounds

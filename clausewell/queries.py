@@ -161,11 +161,48 @@ n as (select * from (select query_id, vec_id, distance, row_number() over (parti
 _CHUNKS = "select doc_id, ord, substring(text, ord * 800 + 1, 1000) as text from (select doc_id, text, unnest(range(0, 1 + greatest(0, ceil((length(text) - 1000) / 800))::bigint)) as ord from documents where length(text) > 0)"
 _PAGE = "regexp_replace(regexp_replace(coalesce(html, ''), '</(div|p|h3|tr|table)>|<br[ \\t\\r\\n]*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
 for _name, _value in T.ENTITIES:
-    _PAGE = f"replace({_PAGE}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+    if _name != "&amp;":  # last, and the tables hold it without its semicolon too
+        _PAGE = f"replace({_PAGE}, '{_name}', '{_value.replace(chr(39), chr(39) * 2)}')"
+_PAGE = f"regexp_replace({_PAGE}, '&amp;?', '&', 'g')"
 _PAGE = (
     f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PAGE}, '[ \\t\\x{{00a0}}]+', ' ', 'g'), ' ?\\r?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'),"
     " '^[ \\n]+|[ \\n]+$', '', 'g')")
 _ASKED = "select item_id, text from benchmark"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+#: Where a numbered clause begins; a mark is put there, since these expressions know no look-ahead.
+_STARTS = r"\n(\s*(?:\d{1,3}\.\d{1,2}(?:\.\d{1,2})*\.?\s+[A-Z]|\d{1,3}[.)]\s+[A-Z]|(?:ARTICLE|Article|SECTION|Section)\s+(?:\d{1,3}|[IVXL]{1,7})\b))"
+_LINES = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_PARTS = f"list_filter(list_transform({{}}, lambda x: {_STRIP.format('x')}), lambda x: length(x) >= {{}})"
+
+
+def _folded(parts: str, joined: str, closes: str, closed: str, rest: str) -> str:
+    """A fold over texts: ``joined`` of buffer a.buf and part p.buf; where ``closes``, ``closed`` is done and ``rest`` goes on."""
+    return (f"list_reduce(list_transform({parts}, lambda y: {{'done': []::varchar[], 'buf': y}}), lambda a, p: if({closes.format(joined)},"
+            f" {{'done': list_append(a.done, {closed.format(joined)}), 'buf': {rest}}}, {{'done': a.done, 'buf': {joined}}}), {{'done': []::varchar[], 'buf': ''}})")
+
+
+_SENTENCES = r"string_split(regexp_replace(c, '([.;:])\s+', '\1' || chr(1), 'g'), chr(1))"
+_PACKED = _folded("parts", "if(a.buf = '', p.buf, a.buf || chr(10) || chr(10) || p.buf)", "length({}) >= 240", "{}", "''")
+_CAPPED = _folded(_SENTENCES, f"if(a.buf = '', p.buf, {_STRIP.format("a.buf || ' ' || p.buf")})", "a.buf <> '' and length({}) > 1200", "a.buf", "p.buf")
+_CUT = _STRIP.format("substring(f.buf, i * 1200 + 1, 1200)")
+#: Clauses of a WITH that end in ``k``: doc_id, mode and clauses of every document.
+_CLAUSES = f"""
+k0 as (select doc_id, coalesce(text, '') as t from documents),
+k1 as (select *, {_PARTS.format(f"string_split(regexp_replace(t, '{_STARTS}', chr(1) || '\1', 'g'), chr(1))", 80)} as numbered, {_PARTS.format(r"regexp_split_to_array(t, '\n\s*\n')", 1)} as paragraphs from k0),
+k2 as (select *, case when len(numbered) >= 3 then 'numbered' when len(paragraphs) >= 3 then 'paragraphs' else 'lines' end as mode from k1),
+k3 as (select *, if(mode = 'paragraphs', paragraphs, {_PARTS.format(f"regexp_split_to_array(t, '{_LINES}')", 1)}) as parts from k2),
+k4 as (select *, {_PACKED} as f from k3),
+k5 as (select doc_id, mode, if(mode = 'numbered', numbered, if(f.buf = '', f.done, list_append(f.done, f.buf))) as whole from k4),
+k6 as (select doc_id, unnest(whole) as c, generate_subscripts(whole, 1) as place from k5),
+k7 as (select doc_id, place, c, if(length(c) <= 1200, null, {_CAPPED}) as f from k6),
+k8 as (select doc_id, place, if(f is null, [c], f.done || list_transform(list_filter(range(greatest(ceil(length(f.buf) / 1200)::bigint, 1)),
+  lambda i: {_CUT} <> '' or (i + 1) * 1200 < length(f.buf)), lambda i: {_CUT})) as found from k7),
+k9 as (select doc_id, flatten(list(found order by place)) as clauses from k8 group by doc_id),
+k as (select doc_id, mode, coalesce(clauses, []) as clauses from k5 left join k9 using (doc_id))"""
+_JUDGED = "case when regexp_matches(c, '(?i)(waive|indemnif|password|secret|api[_-]?key)') then 'red' when regexp_matches(c, '[0-9]{3,}|[#*$%&]{2,}') then 'yellow' else 'green' end"
+_WINDOWS = (
+    "list_reduce(list_transform(clauses, lambda y: {'done': []::varchar[], 'buf': y}), lambda a, p: if(length(a.buf) + 2 + length(p.buf) > 24000,"
+    " {'done': list_append(a.done, a.buf), 'buf': p.buf}, {'done': a.done, 'buf': a.buf || chr(10) || chr(10) || p.buf}))")
 
 ORACLES = {
     "bm25_topk": f"with {_bm25(_ASKED, 'item_id', 'select doc_id, text from documents', 'doc_id', 5)} select item_id, doc_id, rank, round(score, 5) as score from hits",
@@ -187,6 +224,12 @@ ORACLES = {
         r as (select b.item_id, min(h.rank) as rank from benchmark b left join (select item_id, rank, t.text from hits join documents t using (doc_id)) h on h.item_id = b.item_id and contains(h.text, b.text) group by all)
         select count(*) as n, round(avg(coalesce(1.0 / rank::double, 0)), 4) as mrr, round(avg(coalesce(1.0 / log2(rank + 1.0), 0)), 4) as ndcg, round(avg(coalesce((rank <= 1)::double, 0)), 4) as hit_1,
           round(avg(coalesce((rank <= 5)::double, 0)), 4) as hit_5, round(avg(coalesce((rank <= 10)::double, 0)), 4) as hit_10 from r""",
+    "clause_rows": f"with {_CLAUSES} select doc_id, mode, generate_subscripts(clauses, 1) - 1 as ord, md5(unnest(clauses)) as digest from k",
+    "clause_windows": f"""with {_CLAUSES}, w as (select doc_id, if(len(clauses) = 0, [''], list_append(f.done, f.buf)) as ws from (select doc_id, clauses, if(len(clauses) = 0, null, {_WINDOWS}) as f from k))
+        select doc_id, generate_subscripts(ws, 1) - 1 as window, length(unnest(ws)) as size, md5(unnest(ws)) as digest from w""",
+    "document_scan": f"""with {_CLAUSES}, v as (select *, list_transform(clauses[1:60], lambda c: {_JUDGED}) as v, length(text) > 384000 as large from k join (select doc_id, text from documents) using (doc_id))
+        select doc_id, case when large then 'too_large' when len(clauses) = 0 then 'empty' else 'scanned' end as status, if(large, 'lines', mode) as mode, if(large, 0, len(clauses)) as clauses_total, if(large, 0, len(v)) as clauses_judged,
+          not large and len(clauses) > 60 as partial, {", ".join(f"if(large, 0, len(list_filter(v, lambda x: x = '{v}'))) as {v}" for v in ("red", "yellow", "green"))} from v""",
     "page_texts": f"select page_id, length(t) as size, md5(t) as digest from (select page_id, {_PAGE} as t from pages)",
     "log_summary": """with l as (select event_type, list_sort(list(value)) as v from events where value is not null group by event_type), n as (select *, len(v) as n from l)
         select event_type, n, v[1] as least, v[-1] as most, round(list_avg(v), 6) as mean, round(list_sum(v), 4) as total, v[1 + round_even(0.5 * (n - 1), 0)::bigint] as p50,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewell.operators import retrieval
 from clausewell.operators.segments import SegmentedIndex
-from clausewell.queries import _ASKED, _bm25
+from clausewell.queries import _ASKED, _CLAUSES, _JUDGED, _bm25
 from clausewell.sources.tables import shared_folder, table
 from clausewell.streaming import arrivals, lru, scans, sessions
 
@@ -115,4 +115,15 @@ ORACLES = {
         r as (select *, 0 as part from a_g where event_id not in (select event_id from o) union all select *, 1 from b_g)
         select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n, round(sum(value), 4) as total from r group by user_id, session, part""",
     "late_events": f"with {_LATE} select event_id, user_id, ts from l",
+    "scan_steps": f"""with {_CLAUSES}, g as (select doc_id, clauses, len(clauses) as n, least(len(clauses), 60) as j, doc_id % 5 = 0 and doc_id % 10 <> 0 as refused, doc_id % 5 <> 0 and doc_id % 7 = 0 or doc_id % 10 = 0 as flagged,
+          doc_id % 3 = 0 as off, length(text) > 384000 as large from k join (select doc_id, text from documents) using (doc_id)),
+        s as (select doc_id, 1 as a, 0 as b, case when large then 'too_large' when n = 0 then 'no_text' else 'split' end as kind, if(large or n = 0, null, j) as judged, if(large, null, n) as total, null as c, null as document_state from g
+          union all select doc_id, 2, 0, 'gate_refused', null, n, null, null from g where not large and n > 0 and refused
+          union all select doc_id, 3, 0, 'gate_flagged', null, n, null, null from g where not large and n > 0 and not refused and flagged
+          union all select doc_id, 4, 0, 'jurisdiction', null, n, null, 'CA' from g where not large and n > 0 and not refused and off
+          union all select doc_id, 5, 0, 'judging', j, n, null, null from g where not large and n > 0 and not refused
+          union all select doc_id, 6, generate_subscripts(clauses[1:60], 1), 'clause', generate_subscripts(clauses[1:60], 1), j, unnest(clauses[1:60]), null from g where not large and n > 0 and not refused
+          union all select doc_id, 7, 0, 'protections', null, n, null, null from g where not large and n > 0 and not refused
+          union all select doc_id, 8, 0, 'done', if(refused or large, 0, j), if(large, 0, n), null, null from g)
+        select doc_id, row_number() over (partition by doc_id order by a, b) as step, kind, judged, total, md5(c) as digest, if(c is null, null, {_JUDGED}) as verdict, document_state from s""",
 }
