@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clausewell.functions.ranks import LOWER, UPPER, at_ranks
 from clausewell.operators.places import numbered_rows
+from clausewell.operators.retrieval import bounded
 
 
 def ranks_by_section(expected: DataFrame, hits: DataFrame) -> DataFrame:
@@ -14,6 +15,28 @@ def ranks_by_section(expected: DataFrame, hits: DataFrame) -> DataFrame:
     return expected.join(hits.groupBy("query", "section").agg(F.min("rank").alias("rank")), ["query", "section"], "left")
 
 
+#: Words of a passage by which documents are looked up before the whole passage is.
+ANCHOR = 5
+
+
+def holders(passages: DataFrame, docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
+    """(query, key) of every document that holds a whole passage verbatim; empty passages are in none.
+
+    A document that holds a passage holds its second to sixth word as whole words, so documents are looked up by the
+    hashes of their runs of five words, and only what is found is searched for the passage. Passages of fewer than seven
+    words, which have no such run, are searched for in all documents.
+    """
+    asked = passages.filter(F.col(text) != "").select(query, F.col(text).alias("passage"), F.split(F.col(text), r"\s+").alias("words"))
+    long = F.size("words") >= ANCHOR + 2
+    anchors = asked.filter(long).select(query, "passage", F.xxhash64(F.slice("words", 2, ANCHOR)).alias("anchor"))
+    words = docs.filter(F.col(text).isNotNull()).select(key, F.split(F.col(text), r"\s+").alias("words"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - ANCHOR + 1, F.lit(1))), lambda k: F.xxhash64(F.slice("words", k, ANCHOR)))
+    each = words.select(key, F.explode(F.array_distinct(runs)).alias("anchor")).join(bounded(anchors.select(query, "anchor")), "anchor").select(query, key).distinct()
+    found = each.join(docs.select(key, F.col(text).alias("held")), key).join(bounded(anchors.select(query, "passage")), query)
+    short = docs.select(key, F.col(text).alias("held")).join(bounded(asked.filter(~long).select(query, "passage")), F.contains("held", "passage"))
+    return found.filter(F.contains("held", "passage")).select(query, key).unionByName(short.select(query, key)).distinct()
+
+
 def section_summary(ranks: DataFrame) -> DataFrame:
     """Hit rates and MRR on a query's best section, and the strict share: all acceptable sections arrived."""
     per = ranks.groupBy("query").agg(F.min("rank").alias("rank"), F.bool_and(F.col("rank").isNotNull()).alias("all"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewell.functions import text as T
-from clausewell.operators import corpus, evaluation, rules, variants
+from clausewell.operators import corpus, evaluation, rules, splitting, studies, variants
 from clausewell.operators.places import numbered_rows
 from clausewell.sources.tables import table
 from clausewell.study_queries import _TURNS, turns
@@ -97,7 +97,40 @@ def claimed_sections(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).select("file", "index", T.without_model_footer(T.unwrapped(wrapped)).alias("answer"), T.needs_retrieval(F.when(F.col("size") % 2 == 0, "legal_question").otherwise("chat")).alias("retrieves"))
 
 
-NAMES = (variant_numbers, variant_profile, verified_leases, rule_matches, drift_diffs, ordered_answers, reviewed_cases, answer_tokens, claimed_sections)
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Pages between two anchors, cut before each."""
+    k = F.col("page_id").cast("string")
+    page = F.concat(F.lit("head<a name='59.18."), k, F.lit("'>"), F.coalesce("html", F.lit("")), F.lit("<a  name='59.18."), k, F.lit(".2' ></a><p>tail</p>"))
+    found = splitting.page_sections(table(spark, d, "pages").select("page_id", page.alias("html")))
+    return found.select("page_id", "ord", "section", F.length("fragment").alias("size"), F.md5("fragment").alias("digest"))
+
+
+def enumerated_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text dealt to four or five lettered items of a subsection; a subsection of three is left alone."""
+    piece = lambda k: F.translate(F.substring("text", k * 400 + 1, 400), "\n()", "   ")
+    items = [F.concat(F.lit(f"\n({letter}) x "), piece(k)) for k, letter in enumerate("abcde")]
+    text = F.concat(F.lit("(1) The landlord shall:"), *items[:4], F.when(F.col("doc_id") % 2 == 0, items[4]).otherwise(""), F.lit("\n(2) The tenant shall:\n(a) pay\n(b) leave\n(c) clean"))
+    found = splitting.enumerated_units(table(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("text")))
+    return found.select("doc_id", "ord", "label", "stem", F.md5("item").alias("digest"))
+
+
+def filled_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Long documents are flagged and all taken; a seeded choice of others fills the sample up to a third of the table."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("size"))
+    found = studies.review_sample(docs, F.coalesce(F.col("size") > 6000, F.lit(False)), "doc_id", docs.count() // 3, 7)
+    return found.groupBy("flagged").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+def chunk_results(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks with a headline, shown plainly or whole, and their metadata."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("type"), F.col("lang").alias("state"), "source", F.concat(F.lit("S"), "doc_id").alias("section"), F.lit("t").alias("title"), F.lit("").alias("url"), "text")
+    shown, plain = (corpus.as_result(F.col("section"), F.col("type"), F.col("text"), alone) for alone in (False, True))
+    both = docs.select("doc_id", F.md5(shown).alias("whole"), F.md5(plain).alias("plain"))
+    return both.join(corpus.metadata(docs).select(F.substring("section", 2, 20).cast("bigint").alias("doc_id"), "state", "type"), "doc_id")
+
+
+NAMES = (page_sections, enumerated_units, filled_sample, chunk_results, variant_numbers, variant_profile, verified_leases, rule_matches, drift_diffs, ordered_answers, reviewed_cases, answer_tokens, claimed_sections)
 QUERIES = {f.__name__: f for f in NAMES}
 
 _MIXED = """m as (select event_id, event_type, event_id % 6 as u, regexp_extract(props, '[0-9]+') as k from events),
@@ -134,4 +167,11 @@ ORACLES = {
     "answer_tokens": """with e as (select user_id, event_type, regexp_extract(props, '[0-9]+')::bigint as k from events)
         select user_id, sum(k) as total, coalesce(sum(k) filter (event_type <> 'purchase'), 0) as before, coalesce(sum(k) filter (event_type = 'purchase'), 0) as own from e group by user_id""",
     "claimed_sections": f"with {_TURNS} select file, index, 'See ' || section as answer, size % 2 = 0 as retrieves from t",
+    "page_sections": """with a as (select page_id, '<a name=' || chr(39) || '59.18.' || page_id || chr(39) || '>' || coalesce(html, '') as a, '<a  name=' || chr(39) || '59.18.' || page_id || '.2' || chr(39) || ' ></a><p>tail</p>' as b from pages)
+        select page_id, 0 as ord, '59.18.' || page_id as section, length(a) as size, md5(a) as digest from a union all select page_id, 1, '59.18.' || page_id || '.2', length(b), md5(b) from a""",
+    "enumerated_units": """with i as (select doc_id, unnest(range(if(doc_id % 2 = 0, 5, 4))) as k, text from documents where text is not null)
+        select doc_id, k as ord, '(1)(' || chr(97 + k::int) || ')' as label, 'The landlord shall:' as stem, md5(trim(regexp_replace('x ' || translate(substring(text, k * 400 + 1, 400), chr(10) || '()', '   '), '\\s+', ' ', 'g'))) as digest from i""",
+    "filled_sample": """with n as (select count(*) // 3 as third, count_if(length(text) > 6000) as long, count(*) as every from documents)
+        select true as flagged, long as n, long as documents from n where long > 0 union all select false, greatest(0, third - long), greatest(0, third - long) from n where third > long""",
+    "chunk_results": """select doc_id, md5('S' || doc_id || chr(10) || chr(10) || source || chr(10) || chr(10) || text) as whole, md5(text) as plain, lang as state, source as type from documents""",
 }

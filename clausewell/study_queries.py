@@ -117,7 +117,7 @@ def citation_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_items(spark: SparkSession, d: str) -> DataFrame:
-    claims = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 300).alias("claim"))
+    claims = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("claim"))
     return findings.closed_book_claims(claims, MATCHERS).groupBy(F.coalesce("item", F.lit("extra")).alias("item")).agg(F.count("*").alias("n"))
 
 
@@ -126,10 +126,10 @@ def severity_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Every passage expects the documents that hold it, five at most by id; ranks among its ten best documents."""
+    """Every passage expects all documents that hold it; ranks among its ten best documents."""
     asked, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     hits = retrieval.bm25(asked, docs, "item_id", ["doc_id"], 10).select(F.col("item_id").alias("query"), F.col("doc_id").alias("section"), "rank")
-    expected = hits.filter("rank in (1, 4)").select("query", (F.col("section") + F.col("query") % 2).alias("section")).distinct()
+    expected = studies.holders(asked, docs, "item_id", "doc_id").select(F.col("item_id").alias("query"), F.col("doc_id").alias("section"))
     return studies.section_summary(studies.ranks_by_section(expected, hits))
 
 
@@ -218,7 +218,7 @@ def error_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of up to 3,200 characters; a text below 6,400 is one chunk of its first half."""
+    """Chunks of up to 3,200 characters, of which a longer text has several."""
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
     n = F.floor(F.length("text") / 3200)
     parts = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda k: F.substring("text", (k * 3200 + 1).cast("int"), 3200))).alias("content"))
@@ -262,7 +262,7 @@ def staged_retrieval(spark: SparkSession, d: str) -> DataFrame:
 def negated_claims(spark: SparkSession, d: str) -> DataFrame:
     """Turns with a claim put into them, negated for every second conversation."""
     said = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.concat(F.substring("text", 1, 80), F.when(F.col("conv_id") % 2 == 0, F.lit(" This is not fully compliant, it is void.")).otherwise(F.lit(" It is fully compliant and void."))).alias("answer"))
+        "conv_id", "turn", F.concat("text", F.when(F.col("conv_id") % 2 == 0, F.lit(" This is not fully compliant, it is void.")).otherwise(F.lit(" It is fully compliant and void."))).alias("answer"))
     return said.select("conv_id", "turn", T.adopted_claim(F.col("answer")).alias("claim"), T.answer_holds(F.col("answer")).alias("held"))
 
 
@@ -369,9 +369,9 @@ def _oracles() -> dict[str, str]:
         "citation_urls": f"""with {_TURNS}, u as (select 'RCW 59.18.' || (page_id % 40 + 10) as section, min(url) as url from pages group by 1), x as (select distinct file, index as clause_no, unnest(citations) as citation from t)
             select file, clause_no, citation, coalesce(url, '') as url from x left join u on u.section = {_BASE.format('citation', 'citation')}""",
         "claim_items": """select coalesce(case when regexp_matches(c, ' the [^\n]* and ') then 'deposit' when contains(c, ' und ') then 'notice' when contains(c, ' que ') then 'repair' end, 'extra') as item, count(*) as n
-            from (select substring(text, 1, 300) as c from conversations) group by 1""",
+            from (select text as c from conversations) group by 1""",
         "severity_order": f"with {_TURNS} select file, index, row_number() over (partition by file order by list_position(['red', 'yellow', 'missing', 'green'], verdict), index) as position from t",
-        "section_ranks": f"""with {_bm25('select item_id, text from benchmark', 'item_id', docs, 'doc_id', 10)}, e as (select distinct item_id, doc_id + item_id % 2 as doc_id from hits where rank in (1, 4)),
+        "section_ranks": f"""with {_bm25('select item_id, text from benchmark', 'item_id', docs, 'doc_id', 10)}, e as (select distinct item_id, doc_id from benchmark b join documents t on contains(t.text, b.text) where b.text <> ''),
             r as (select item_id, min(rank) as best, bool_and(rank is not null) as every from e left join (select item_id, doc_id, min(rank) as rank from hits group by all) using (item_id, doc_id) group by item_id)
             select count(*) as scored, round(avg(coalesce((best <= 1)::int, 0)), 4) as hit_1, round(avg(coalesce((best <= 3)::int, 0)), 4) as hit_3, round(avg(coalesce((best <= 5)::int, 0)), 4) as hit_5, round(avg((best is not null)::int), 4) as hit_k,
               round(avg(coalesce(1.0 / best::double, 0)), 4) as mrr, round(avg(every::int), 4) as all_arrived, count_if(best is null) as misses, count_if(best is not null and not every) as partial from r""",

@@ -135,3 +135,11 @@ def test_what_a_chunk_shows(spark):
     assert (shown.full, shown.plain) == ("h\n\ns\n\no", "o")
     docs = spark.createDataFrame([tuple("abcdef") + ("x", 1)], "type string, state string, source string, section string, title string, url string, text string, n int")
     assert tuple(corpus.metadata(docs).first()) == tuple("abcdef")
+
+
+def test_documents_that_hold_a_passage(spark):
+    passage = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"x{passage}y"), (2, passage.replace("six", "sixth")), (3, f"start {passage} {passage}"), (4, None), (5, ""), (6, "two three four"), (7, "a b")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, passage), (2, "three four"), (3, ""), (4, None), (5, "absent words")], "item_id int, text string")
+    found = {(r.item_id, r.doc_id) for r in studies.holders(asked, docs, "item_id", "doc_id").collect()}
+    assert found == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (2, 6)}
