@@ -182,3 +182,12 @@ def fingerprint(configuration: Column) -> Column:
 def first_mentions(answer: Column) -> Column:
     """The sections that an answer names, in the order of their first mention."""
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"RCW \d+\.\d+\.\d+"), F.lit(0)))
+
+
+def iso_seconds(moment: Column) -> Column:
+    """A moment as logs write it, to the second, in the session's time zone; null for null."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def day(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausewell.functions import text as T
 from clausewell.operators import corpus, evaluation, rules, splitting, studies, variants
 from clausewell.operators.places import numbered_rows
-from clausewell.sources.tables import table
+from clausewell.sources.tables import append_lines, read_lines, shared_folder, table
 from clausewell.study_queries import _TURNS, turns
 
 #: What turns say of leases, by the length of a turn.
@@ -130,7 +130,17 @@ def chunk_results(spark: SparkSession, d: str) -> DataFrame:
     return both.join(corpus.metadata(docs).select(F.substring("section", 2, 20).cast("bigint").alias("doc_id"), "state", "type"), "doc_id")
 
 
-NAMES = (page_sections, enumerated_units, filled_sample, chunk_results, variant_numbers, variant_profile, verified_leases, rule_matches, drift_diffs, ordered_answers, reviewed_cases, answer_tokens, claimed_sections)
+def logged_days(spark: SparkSession, d: str) -> DataFrame:
+    """A log of JSON lines, written in two appends and read back with a schema that knows a field more, by day."""
+    log = table(spark, d, "events").select("event_id", T.iso_seconds(F.col("ts").cast("timestamp")).alias("ts"), "value")
+    path = shared_folder(spark, "log")
+    append_lines(log.filter("event_id % 2 = 0"), path)
+    append_lines(log.filter("event_id % 2 = 1").drop("value"), path)
+    rows = read_lines(spark, path, "event_id bigint, ts timestamp, value double, client string")
+    return rows.groupBy(T.day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.max(T.iso_seconds(F.col("ts"))).alias("last"), F.count("client").alias("clients"))
+
+
+NAMES = (logged_days, page_sections, enumerated_units, filled_sample, chunk_results, variant_numbers, variant_profile, verified_leases, rule_matches, drift_diffs, ordered_answers, reviewed_cases, answer_tokens, claimed_sections)
 QUERIES = {f.__name__: f for f in NAMES}
 
 _MIXED = """m as (select event_id, event_type, event_id % 6 as u, regexp_extract(props, '[0-9]+') as k from events),
@@ -167,6 +177,7 @@ ORACLES = {
     "answer_tokens": """with e as (select user_id, event_type, regexp_extract(props, '[0-9]+')::bigint as k from events)
         select user_id, sum(k) as total, coalesce(sum(k) filter (event_type <> 'purchase'), 0) as before, coalesce(sum(k) filter (event_type = 'purchase'), 0) as own from e group by user_id""",
     "claimed_sections": f"with {_TURNS} select file, index, 'See ' || section as answer, size % 2 = 0 as retrieves from t",
+    "logged_days": """select strftime(ts, '%Y-%m-%d') as day, count(*) as n, count(value) filter (event_id % 2 = 0) as valued, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) as last, 0 as clients from events group by 1""",
     "page_sections": """with a as (select page_id, '<a name=' || chr(39) || '59.18.' || page_id || chr(39) || '>' || coalesce(html, '') as a, '<a  name=' || chr(39) || '59.18.' || page_id || '.2' || chr(39) || ' ></a><p>tail</p>' as b from pages)
         select page_id, 0 as ord, '59.18.' || page_id as section, length(a) as size, md5(a) as digest from a union all select page_id, 1, '59.18.' || page_id || '.2', length(b), md5(b) from a""",
     "enumerated_units": """with i as (select doc_id, unnest(range(if(doc_id % 2 = 0, 5, 4))) as k, text from documents where text is not null)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewell.functions.text import iso_seconds
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -46,6 +48,8 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_lines(rows: DataFrame, path: str) -> None:
+    """Appends rows to a log of JSON lines; a log without the column ``ts`` gets the time of the write, to the second."""
+    rows = rows if "ts" in rows.columns else rows.withColumn("ts", iso_seconds(F.current_timestamp()))
     rows.write.mode("append").json(path)
 
 

@@ -75,19 +75,28 @@ def late_events(spark: SparkSession, d: str) -> DataFrame:
     return late.select("event_id", "user_id", "ts")
 
 
-def scan_steps(spark: SparkSession, d: str) -> DataFrame:
-    """Documents arrive and are scanned; their gate and state follow from their number."""
+def _scanned(spark: SparkSession, d: str) -> str:
+    """Documents arrive and are scanned; their gate and state follow from their number. The folder of what was written."""
     k = F.col("doc_id")
     docs = table(spark, d, "documents").select(
         "doc_id", "text", F.when(k % 5 == 0, "other").when(k % 7 == 0, "document_about_leases").otherwise("lease_agreement").alias("gate"), F.when(k % 3 == 0, "CA").when(k % 3 == 1, "WA").alias("jurisdiction"), (k % 10 == 0).alias("insists"))
     out = shared_folder(spark, "scan-steps")
     arrivals.arrive(docs.withColumn("batch", k % FILES), "batch", f"{out}/in")
-    arrivals.drained(scans.write_steps(arrivals.stream(spark, docs.schema, f"{out}/in"), f"{out}/rows", f"{out}/state"))
-    rows = spark.read.schema("doc_id bigint, step int, " + scans.STEP).parquet(f"{out}/rows")
+    arrivals.drained(scans.write_steps(arrivals.stream(spark, docs.schema, f"{out}/in"), out, f"{out}/state"))
+    return out
+
+
+def scan_steps(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.schema("doc_id bigint, step int, " + scans.STEP).parquet(f"{_scanned(spark, d)}/steps")
     return rows.select("doc_id", "step", "kind", "judged", "total", F.md5("clause").alias("digest"), "verdict", "document_state")
 
 
-NAMES = (updated_index_topk, index_updates, cache_uses, user_sessions, late_events, scan_steps)
+def scan_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """The accounts of the same stream, one per batch of arrived documents."""
+    return spark.read.schema(scans.ACCOUNT + ", batch int").parquet(f"{_scanned(spark, d)}/accounts")
+
+
+NAMES = (updated_index_topk, index_updates, cache_uses, user_sessions, late_events, scan_steps, scan_accounts)
 QUERIES = {f.__name__: f for f in NAMES}
 
 _LATE = f"""e as (select event_id, ts, user_id, value, if(event_id % 97 = 0, {FILES}, event_id * {FILES} // (select count(*) from events)) as batch from events),
@@ -101,6 +110,17 @@ def _sessions(name: str, rows: str) -> str:
 
 
 _WORDS = "len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:\\.[a-z0-9]+)*'), lambda x: length(x) > 1))"
+#: Clauses of a WITH that end in ``s``: the steps of all documents, ordered by a and b.
+_STEPS = f"""{_CLAUSES}, g as (select doc_id, clauses, len(clauses) as n, least(len(clauses), 60) as j, doc_id % 5 = 0 and doc_id % 10 <> 0 as refused, doc_id % 5 <> 0 and doc_id % 7 = 0 or doc_id % 10 = 0 as flagged,
+          doc_id % 3 = 0 as off, length(text) > 384000 as large from k join (select doc_id, text from documents) using (doc_id)),
+        s as (select doc_id, 1 as a, 0 as b, case when large then 'too_large' when n = 0 then 'no_text' else 'split' end as kind, if(large or n = 0, null, j) as judged, if(large, null, n) as total, null as c, null as document_state from g
+          union all select doc_id, 2, 0, 'gate_refused', null, n, null, null from g where not large and n > 0 and refused
+          union all select doc_id, 3, 0, 'gate_flagged', null, n, null, null from g where not large and n > 0 and not refused and flagged
+          union all select doc_id, 4, 0, 'jurisdiction', null, n, null, 'CA' from g where not large and n > 0 and not refused and off
+          union all select doc_id, 5, 0, 'judging', j, n, null, null from g where not large and n > 0 and not refused
+          union all select doc_id, 6, generate_subscripts(clauses[1:60], 1), 'clause', generate_subscripts(clauses[1:60], 1), j, unnest(clauses[1:60]), null from g where not large and n > 0 and not refused
+          union all select doc_id, 7, 0, 'protections', null, n, null, null from g where not large and n > 0 and not refused
+          union all select doc_id, 8, 0, 'done', if(refused or large, 0, j), if(large, 0, n), null, null from g)"""
 ORACLES = {
     "updated_index_topk": f"with {_bm25(_ASKED, 'item_id', 'select doc_id, text from documents', 'doc_id', 5)} select item_id, doc_id, rank, round(score, 5) as score from hits",
     "index_updates": f"select if(doc_id % 100 = 0, 2, 1) as segment, count(*) as documents, sum({_WORDS}) as terms from documents group by 1",
@@ -115,15 +135,6 @@ ORACLES = {
         r as (select *, 0 as part from a_g where event_id not in (select event_id from o) union all select *, 1 from b_g)
         select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n, round(sum(value), 4) as total from r group by user_id, session, part""",
     "late_events": f"with {_LATE} select event_id, user_id, ts from l",
-    "scan_steps": f"""with {_CLAUSES}, g as (select doc_id, clauses, len(clauses) as n, least(len(clauses), 60) as j, doc_id % 5 = 0 and doc_id % 10 <> 0 as refused, doc_id % 5 <> 0 and doc_id % 7 = 0 or doc_id % 10 = 0 as flagged,
-          doc_id % 3 = 0 as off, length(text) > 384000 as large from k join (select doc_id, text from documents) using (doc_id)),
-        s as (select doc_id, 1 as a, 0 as b, case when large then 'too_large' when n = 0 then 'no_text' else 'split' end as kind, if(large or n = 0, null, j) as judged, if(large, null, n) as total, null as c, null as document_state from g
-          union all select doc_id, 2, 0, 'gate_refused', null, n, null, null from g where not large and n > 0 and refused
-          union all select doc_id, 3, 0, 'gate_flagged', null, n, null, null from g where not large and n > 0 and not refused and flagged
-          union all select doc_id, 4, 0, 'jurisdiction', null, n, null, 'CA' from g where not large and n > 0 and not refused and off
-          union all select doc_id, 5, 0, 'judging', j, n, null, null from g where not large and n > 0 and not refused
-          union all select doc_id, 6, generate_subscripts(clauses[1:60], 1), 'clause', generate_subscripts(clauses[1:60], 1), j, unnest(clauses[1:60]), null from g where not large and n > 0 and not refused
-          union all select doc_id, 7, 0, 'protections', null, n, null, null from g where not large and n > 0 and not refused
-          union all select doc_id, 8, 0, 'done', if(refused or large, 0, j), if(large, 0, n), null, null from g)
-        select doc_id, row_number() over (partition by doc_id order by a, b) as step, kind, judged, total, md5(c) as digest, if(c is null, null, {_JUDGED}) as verdict, document_state from s""",
+    "scan_steps": f"""with {_STEPS} select doc_id, row_number() over (partition by doc_id order by a, b) as step, kind, judged, total, md5(c) as digest, if(c is null, null, {_JUDGED}) as verdict, document_state from s""",
+    "scan_accounts": f"""with {_STEPS} select (doc_id % {FILES})::int as batch, count(distinct doc_id) as documents, count(*) as steps, count_if(kind = 'clause') as judged, count_if(kind = 'clause' and {_JUDGED} = 'red') as red, 'done' as status from s group by 1""",
 }

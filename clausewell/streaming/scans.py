@@ -49,10 +49,33 @@ def steps(docs: DataFrame, state: str = "wa", judge: Callable[[Column], Column]
     return split.select("doc_id", F.posexplode(ended).alias("at", "s")).select("doc_id", (F.col("at") + 1).alias("step"), "s.*")
 
 
-def write_steps(docs: DataFrame, out: str, checkpoint: str, **options):
-    """Starts the scan of a stream of documents; a batch that runs again replaces the rows that it wrote before."""
+ACCOUNT = "documents bigint, steps bigint, judged bigint, red bigint, status string"
+
+
+def _account(rows: DataFrame, status: str) -> DataFrame:
+    """One row over the steps of a batch."""
+    counted = rows.agg(
+        F.countDistinct("doc_id").alias("documents"), F.count("*").alias("steps"), F.count_if(F.col("kind") == "clause").alias("judged"), F.count_if(F.col("verdict") == "red").alias("red"))
+    return counted.withColumn("status", F.lit(status))
+
+
+def write_steps(docs: DataFrame, out: str, checkpoint: str, write=None, **options):
+    """Starts the scan of a stream of documents: steps go to ``<out>/steps``, one accounting row per batch to ``<out>/accounts``.
+
+    Both are kept by batch, so a batch that runs again replaces what it wrote before. The account is written last whatever
+    happens: where writing the steps (``write(rows, folder)`` does it) fails, its status is ``failed`` until the batch succeeds.
+    """
+    spark = docs.sparkSession
+    write = write or (lambda rows, folder: rows.write.mode("overwrite").parquet(folder))
 
     def sink(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        folder, status = f"{out}/steps/batch={batch}", "failed"
+        try:
+            write(rows, folder)
+            status = "done"
+        finally:
+            # a finished batch is accounted from what was written, a failed one from the steps themselves
+            source = spark.read.schema(rows.schema).parquet(folder) if status == "done" else rows
+            _account(source, status).coalesce(1).write.mode("overwrite").parquet(f"{out}/accounts/batch={batch}")
 
     return steps(docs, **options).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
