@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewell.sources.tables import shared_folder
+from clausewell.sources.tables import grown_table, shared_folder
 
 
 class Refused(Exception):
@@ -82,7 +82,7 @@ def _prompt_digest(prompt: Column) -> Column:
 
 def _stored(spark: SparkSession, store: str) -> DataFrame:
     """One row per prompt of a store: of several tries the answered one, else the one with the most attempts."""
-    rows = spark.read.schema(f"digest string, {REPLY}").parquet(store)
+    rows = grown_table(spark, store, f"digest string, {REPLY}")
     best = F.max_by(F.struct("answer", "status", "attempts", "error"), F.struct((F.col("status") == "answered").alias("a"), F.col("attempts"), F.col("answer")))
     return rows.groupBy("digest").agg(best.alias("r")).select("digest", "r.*")
 
@@ -94,13 +94,12 @@ def ask(prompts: DataFrame, provider: Provider, policy: Policy = Policy(), store
     asked again, so that a rerun asks for what is new or has failed. At most ``policy.parallel`` tasks call at a time.
     """
     spark = prompts.sparkSession
-    fresh = store is None
-    store = store or shared_folder(spark, "replies")
     wanted = prompts.filter(F.col("prompt").isNotNull()).select(_prompt_digest(F.col("prompt")).alias("digest"), "prompt").dropDuplicates(["digest"])
-    if not fresh:
-        spark.createDataFrame([], f"digest string, {REPLY}").write.mode("append").parquet(store)
+    if store is not None:
         wanted = wanted.join(_stored(spark, store).filter("status = 'answered'").select("digest"), "digest", "left_anti")
 
+    store = store or shared_folder(spark, "replies")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), policy.batch):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewell.operators.retrieval import Index, build_index
+from clausewell.sources.tables import grown_table
 
 LOG = "version int, segments array<int>, gone array<int>"
 
@@ -26,7 +27,10 @@ class Version:
 
 
 class SegmentedIndex:
-    """An index of documents with the columns ``keys`` and ``text`` in the folder ``path``, which all executors share."""
+    """An index of documents with the columns ``keys`` and ``text`` in the folder ``path``, which all executors share.
+
+    One writer at a time; readers need no care.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], text: str = "text"):
         self.spark, self.path, self.keys, self.text = spark, path.rstrip("/"), keys, text
@@ -37,8 +41,7 @@ class SegmentedIndex:
 
     def version(self) -> Version:
         """The last whole version; of a folder without one, the empty one."""
-        self.spark.createDataFrame([], LOG).write.mode("append").parquet(f"{self.path}/log")
-        row = self.spark.read.schema(LOG).parquet(f"{self.path}/log").orderBy(F.desc("version")).limit(1).collect()
+        row = grown_table(self.spark, f"{self.path}/log", LOG).orderBy(F.desc("version")).limit(1).collect()
         return Version(row[0]["version"], tuple(row[0]["segments"]), tuple(row[0]["gone"])) if row else Version(0, (), ())
 
     def _union(self, name: str, numbers: tuple[int, ...]) -> DataFrame | None:

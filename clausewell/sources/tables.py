@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,16 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def grown_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that appends make grow; before the first one it is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def markdown_corpus(spark: SparkSession, folder: str, state: str) -> DataFrame:
     """type, state, source, section, title, url and text of every ``<folder>/<state>/<type>/**/*.md``.
 
