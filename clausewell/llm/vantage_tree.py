@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 64
+#: Queries of a block that take the halves of a node in an order of their own, at least.
+TOGETHER = 96
 #: Bounds are distances of unit vectors, whose rounding is below this.
 SLACK = 1e-7
 
@@ -101,6 +103,9 @@ class Search:
         half, (n0, n1, f0, f1) = a + 1 + (b - a) // 2, tree.bounds[a]
         inner, outer = np.maximum(n0 - away, away - n1), np.maximum(f0 - away, away - f1)
         first = inner <= outer
+        if min(first.sum(), (~first).sum()) < TOGETHER:
+            # too few to go their own way: all take the order that suits most
+            first[:] = 2 * first.sum() >= len(first)
         for mine, steps in ((first, ((inner, a + 1, half), (outer, half, b))), (~first, ((outer, half, b), (inner, a + 1, half)))):
             for bound, lo, hi in steps:
                 # what has been found on the way narrows the second half's search
