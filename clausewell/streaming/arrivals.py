@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def arrive(rows: DataFrame, batch: str, folder: str) -> None:
     """Writes the rows below ``folder``, one file for each value of the column ``batch``, lowest first.
 
-    The file source reads files by the time at which they were written, so each is written by a job of its own.
+    The file source reads files by the time at which they were written, so each is written by a job of its own, and by one
+    task, so that a micro-batch is one file. This replays a table; a stream that arrives by itself needs none of it.
     """
     numbers = sorted(r[0] for r in rows.select(batch).distinct().collect())
     for number in numbers:
