@@ -268,9 +268,9 @@ class PieceEncoder(ChunkEncoder):
 
     def __init__(self, path: str, method):
         self.table, self.method = PieceTable(path), method
-        super().__init__(self._chunks, self._encode, len(self.table.pieces) > 1 << 16, None, most=600_000)
+        super().__init__(self._chunks, self._encode, len(self.table.pieces) > 1 << 16, None)
 
-    def _encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, fresh: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         found: list = [None] * len(fresh)
         by: dict[int, list[int]] = {}
         for k, x in enumerate(fresh):
@@ -286,7 +286,7 @@ class PieceEncoder(ChunkEncoder):
                 chunks = [fresh[k] for k in part]
                 for k, ids in zip(part, self.method(self.table, chunks, self.table.lattice(chunks)), strict=True):
                     found[k] = ids
-        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        return [(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))]
 
     @staticmethod
     def _chunks(text: str) -> list[str]:

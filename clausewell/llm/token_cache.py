@@ -7,7 +7,6 @@ chunks saves most of the merging work. ``tests/llm`` holds this against whole-te
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -45,65 +44,91 @@ class Codes(dict):
         return code
 
 
+class Store:
+    """The ids of coded chunks, one after the other; arrays grow by doubling."""
+
+    def __init__(self, kind):
+        self.used = 0
+        self.starts, self.lengths, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, kind)
+
+    def add(self, at: int, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the chunks from code ``at`` on."""
+        end = at + len(lengths)
+        while len(self.lengths) < end:
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.starts[at:end] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at:end] = lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``codes``, joined, and where each one's begin and end."""
+        lengths = self.lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends[:-1], lengths)], ends
+
+
 class ChunkEncoder:
     """Encode whole texts to id arrays. ``split`` cuts a text into chunks; ``encode_fresh`` gives the ids of distinct
-    chunks as one flat array and their lengths. Beyond ``most`` chunks the cache keeps the quarter learnt first, which
-    holds the frequent words, and forgets the rest."""
+    chunks as one flat array and their lengths, for each of ``forms`` ways to encode. Beyond ``most`` chunks the cache
+    keeps half as many, those that most runs used, and forgets the rest; a use counts half after each time."""
 
-    def __init__(self, split, encode_fresh, wide: bool, end_id: int | None = None, most: int = 600_000):
+    def __init__(self, split, encode_fresh, wide: bool, end_id: int | None = None, most: int = 200_000, forms: int = 1):
         self.split, self.encode_fresh, self.end, self.most = split, encode_fresh, end_id, most
         self.kind = np.uint32 if wide else np.uint16
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes = Codes()
-        self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, self.kind)
-        if self.end is not None:  # the end of a document is a chunk with code 0
+        self.codes, self.stores, self.uses = Codes(), [Store(self.kind) for _ in range(forms)], np.zeros(1 << 12, np.int32)
+        if end_id is not None:  # the end of a document is a chunk with code 0
             self.codes[None] = 0
-            self.used, self.lengths[0], self.ids[0] = 1, 1, self.end
+            for store in self.stores:
+                store.add(0, np.array([end_id]), np.ones(1, np.int64))
 
     def _room(self) -> None:
         if len(self.codes) > self.most:
-            kept = self.most // 4
-            old, self.codes = self.codes, Codes()
-            self.codes.update(itertools.islice(old.items(), kept))
-            self.used = int(self.starts[kept])
+            n, first = len(self.codes), int(self.end is not None)
+            order = np.argsort(-self.uses[first:n], kind="stable")[: self.most // 2] + first
+            kept = np.concatenate([np.arange(first), np.sort(order)])
+            names = list(self.codes)
+            self.codes = Codes()
+            self.codes.update((names[k], code) for code, k in enumerate(kept.tolist()))
+            self.uses = self.uses[kept] >> 1
+            for k, old in enumerate(self.stores):
+                self.stores[k] = Store(self.kind)
+                self.stores[k].add(0, old.of(kept)[0], old.lengths[kept])
 
     def _learn(self) -> None:
-        """Encode the waiting chunks; arrays grow by doubling."""
+        """Encode the waiting chunks."""
         fresh, self.codes.fresh = self.codes.fresh, []
-        flat, lengths = self.encode_fresh(fresh)
-        end = len(self.codes)
-        at = end - len(fresh)
-        while len(self.lengths) < end:
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[at:end] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at:end] = lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        for store, found in zip(self.stores, self.encode_fresh(fresh), strict=True):
+            store.add(len(self.codes) - len(fresh), *found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One id array per text, with the end id appended when there is one."""
+        return self.encode_forms(texts)[0]
+
+    def encode_forms(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """As ``encode``, for each way to encode; texts are cut once for all."""
         self._room()
         code = self.codes.__getitem__
         rows = [np.array(list(map(code, self.split(t))), np.int64) for t in texts]
-        return self._join(np.concatenate(rows), np.cumsum([len(r) for r in rows])) if rows else []
+        return self._join(np.concatenate(rows), np.cumsum([len(r) for r in rows])) if rows else [[] for _ in self.stores]
 
-    def _join(self, codes: np.ndarray, until: np.ndarray) -> list[np.ndarray]:
+    def _join(self, codes: np.ndarray, until: np.ndarray) -> list[list[np.ndarray]]:
         """The id arrays of texts whose chunks follow one another in ``codes``, each up to its place in ``until``."""
         if self.codes.fresh:
             self._learn()
+        n = len(self.codes)
+        while len(self.uses) < n:
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.uses[:n] += np.bincount(codes, minlength=n) > 0
         if self.end is not None:
             codes, until = np.insert(codes, until, 0), until + np.arange(1, len(until) + 1)
-        lengths = self.lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[codes] - ends[:-1], lengths)].astype(np.uint32)
-        return np.split(flat, ends[until[:-1]])
+        out = []
+        for store in self.stores:
+            flat, ends = store.of(codes)
+            out.append(np.split(flat.astype(np.uint32), ends[until[:-1]]))
+        return out
 
 
 class TokenizerEncoder(ChunkEncoder):
@@ -128,7 +153,7 @@ class TokenizerEncoder(ChunkEncoder):
             self.pattern += r"|<\|"
         super().__init__(split, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
 
-    def _encode(self, fresh: list[str], joined: int = 64, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, fresh: list[str], joined: int = 64, step: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
         """``joined`` chunks become one input, each closed by a special token that cuts it off; a chunk that could hold
         a special token is encoded on its own. ``step`` inputs are encoded at a time, since result objects are large."""
         odd = [k for k, x in enumerate(fresh) if "<|" in x]
@@ -141,13 +166,13 @@ class TokenizerEncoder(ChunkEncoder):
         ends = np.flatnonzero(flat == self.mark_id)
         lengths, flat = np.diff(ends, prepend=-1) - 1, flat[flat != self.mark_id]
         if not odd:
-            return flat, lengths
+            return [(flat, lengths)]
         parts = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
         for k, e in zip(odd, self.tokenizer.encode_batch_fast([fresh[k] for k in odd], add_special_tokens=False), strict=True):
             parts.insert(k, np.array(e.ids, np.int64))
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return [(np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts)))]
 
-    def each(self, texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[np.ndarray]:
+    def each(self, texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[np.ndarray]:
         """The id array of every text in turn; texts are encoded in runs of about ``most_bytes``, or one at a time."""
         texts = pc.fill_null(texts, "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -158,7 +183,8 @@ class TokenizerEncoder(ChunkEncoder):
             odd = pc.match_substring_regex(run, self.pattern).to_numpy(zero_copy_only=False)
             plain, rest = iter(self._plain(run.filter(pa.array(~odd)))), iter(self.encode(run.filter(pa.array(odd)).to_pylist()))
             yield from (next(rest if o else plain) for o in odd.tolist())
-            pa.default_memory_pool().release_unused()  # the pool would keep a run's tables, some 100 MB in all
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # these would keep what a run held, some 100 MB in all
+                pool.release_unused()
             at = end
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
@@ -173,7 +199,7 @@ class TokenizerEncoder(ChunkEncoder):
         code, table = self.codes.__getitem__, np.zeros(len(known), np.int64)
         if not self.keep_blanks:
             table[:] = list(map(code, known))
-            return self._join(table[at], offsets[1:].astype(np.int64))
+            return self._join(table[at], offsets[1:].astype(np.int64))[0]
         bare = at == (known.index("\n") if "\n" in known else -1)
         bare[1:] |= bare[:-1].copy()  # line feeds and what follows them have no space before
         bare[offsets[:-1]] = True
@@ -182,7 +208,7 @@ class TokenizerEncoder(ChunkEncoder):
         codes = table[at]
         table[alone] = [code(known[k]) for k in alone]
         codes[bare] = table[at[bare]]
-        return self._join(codes, offsets[1:].astype(np.int64))
+        return self._join(codes, offsets[1:].astype(np.int64))[0]
 
 
 _ENCODERS: dict[tuple, TokenizerEncoder] = {}
