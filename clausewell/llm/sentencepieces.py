@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding in numpy batches.
 
 A text is cut into chunks that no piece can cross (before a run of word marks), and every distinct chunk is encoded
-once per worker. Chunks of equal length advance together as rows of one matrix of code points; a substring's 64-bit
+once while a worker's cache holds it; all methods share its cuts and lattice. Chunks of equal length advance together as rows of one matrix of code points; a substring's 64-bit
 hash, taken from prefix hashes, is looked up in the sorted keys of all pieces.
 
 * ``viterbi``: the best segmentation by the sum of piece scores. At each end position the candidates of all lengths
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from clausewell.llm.token_cache import ChunkEncoder
+from clausewell.llm.token_cache import ChunkEncoder, Store
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -118,15 +118,16 @@ class PieceTable:
             out[:, : n - size + 1, size - 1] = self.probe(prefix[:, : n - size + 1], prefix[:, size:], size)
         return out
 
-    def spell(self, chunks: list[str], lattice: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-        """Ids of segmentations; ``cuts[row, j]`` tells that a piece starts at j. Characters without a piece are spelt in bytes."""
+    def spell(self, chunks: list[str], lattice: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segmentations, joined, and each one's number; ``cuts[row, j]`` tells that a piece starts at j. Characters without a piece are spelt in bytes."""
         row, start = np.nonzero(cuts)
         fresh = np.concatenate([row[1:] != row[:-1], [True]])
         size = np.where(fresh, cuts.shape[1], np.concatenate([start[1:], [0]])) - start
         at = lattice[row, start, np.minimum(size, lattice.shape[2]) - 1]
-        ids = self.ids[at]
-        bounds = np.flatnonzero(fresh)[:-1] + 1
-        out = np.split(ids, bounds)
+        ids, lengths = self.ids[at], np.bincount(row, minlength=len(chunks))
+        if (at >= 0).all():
+            return ids, lengths
+        out = np.split(ids, np.cumsum(lengths)[:-1])
         for r in np.unique(row[at < 0]):
             mine = row == r
             own: list[int] = []
@@ -138,10 +139,11 @@ class PieceTable:
                 elif not own or own[-1] != self.unknown:
                     own.append(self.unknown)
             out[r] = np.array(own, np.int64)
-        return out
+            lengths[r] = len(own)
+        return np.concatenate(out), lengths
 
 
-def viterbi(table: PieceTable, chunks: list[str], lattice: np.ndarray) -> list[np.ndarray]:
+def viterbi(table: PieceTable, chunks: list[str], lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the best path of chunks of one length; of equal scores the longest last piece wins."""
     rows, length = lattice.shape[:2]
     best = np.full((rows, length + 1), -np.inf, np.float32)
@@ -164,7 +166,7 @@ def viterbi(table: PieceTable, chunks: list[str], lattice: np.ndarray) -> list[n
     return table.spell(chunks, lattice, cuts)
 
 
-def merges(table: PieceTable, chunks: list[str], lattice: np.ndarray) -> list[np.ndarray]:
+def merges(table: PieceTable, chunks: list[str], lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids by repeated best merges (highest score, then leftmost) of chunks of one length."""
     length, most = lattice.shape[1:]
     cuts = np.zeros(lattice.shape[:2], bool)
@@ -252,41 +254,43 @@ def walk_merges(table: PieceTable, part: str, lattice: np.ndarray) -> np.ndarray
     return np.array(cuts)
 
 
-def long_ids(table: PieceTable, chunk: str, walk) -> np.ndarray:
-    """Ids of one long chunk, its parts walked one after the other."""
-    lattice, cuts = table.lattice([chunk]), []
-    for part, rows in long_parts(chunk, lattice[0]):
-        cuts.append(walk(table, part, rows))
-    return table.spell([chunk], lattice, np.concatenate(cuts)[None, :])[0]
+def long_ids(table: PieceTable, chunk: str, lattice: np.ndarray, walk) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of one long chunk, its parts walked one after the other, and their number."""
+    cuts = [walk(table, part, rows) for part, rows in long_parts(chunk, lattice[0])]
+    return table.spell([chunk], lattice, np.concatenate(cuts)[None, :])
 
 
 WALKS = {viterbi: walk_best, merges: walk_merges}
 
 
 class PieceEncoder(ChunkEncoder):
-    """Whole texts to ids by one of the methods, and back."""
+    """Whole texts to ids by one or more of the methods, which share cuts and lattices, and back."""
 
-    def __init__(self, path: str, method):
-        self.table, self.method = PieceTable(path), method
-        super().__init__(self._chunks, self._encode, len(self.table.pieces) > 1 << 16, None)
+    def __init__(self, path: str, *methods):
+        self.table, self.methods = PieceTable(path), methods
+        super().__init__(self._chunks, self._encode, len(self.table.pieces) > 1 << 16, None, forms=len(methods))
 
     def _encode(self, fresh: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        found: list = [None] * len(fresh)
-        by: dict[int, list[int]] = {}
-        for k, x in enumerate(fresh):
-            by.setdefault(len(x), []).append(k)
-        for size, places in by.items():
-            if size > LONG:
-                for k in places:
-                    found[k] = long_ids(self.table, fresh[k], WALKS[self.method])
-                continue
-            step = max(1, 60_000 // size)
-            for at in range(0, len(places), step):
-                part = places[at : at + step]
-                chunks = [fresh[k] for k in part]
-                for k, ids in zip(part, self.method(self.table, chunks, self.table.lattice(chunks)), strict=True):
-                    found[k] = ids
-        return [(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))]
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        order = np.argsort(sizes, kind="stable")  # chunks of one length follow one another
+        found: list[list] = [[] for _ in self.methods]
+        at = 0
+        while at < len(order):
+            size = int(sizes[order[at]])
+            until = int(np.searchsorted(sizes, size, "right", sorter=order))
+            end = min(until, at + max(1, 60_000 // size)) if size <= LONG else at + 1
+            chunks = [fresh[k] for k in order[at:end].tolist()]
+            lattice = self.table.lattice(chunks)
+            for own, method in zip(found, self.methods, strict=True):
+                own.append(long_ids(self.table, chunks[0], lattice, WALKS[method]) if size > LONG else method(self.table, chunks, lattice))
+            at = end
+        out = []
+        for own in found:
+            held = Store(np.int64)
+            held.add(0, *map(np.concatenate, zip(*own, strict=True)))
+            back = np.argsort(order)
+            out.append((held.of(back)[0], held.lengths[back]))
+        return out
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -310,11 +314,11 @@ class PieceEncoder(ChunkEncoder):
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def piece_encoder(path: str, method) -> PieceEncoder:
-    """One encoder per Python worker and method."""
-    key = (path, method.__name__)
+def piece_encoder(path: str, *methods) -> PieceEncoder:
+    """One encoder per Python worker and choice of methods."""
+    key = (path, *(m.__name__ for m in methods))
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, method)
+        _ENCODERS[key] = PieceEncoder(path, *methods)
     return _ENCODERS[key]
 
 
@@ -329,15 +333,15 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, merged = piece_encoder(path, viterbi), piece_encoder(path, merges)
+        coder = piece_encoder(path, viterbi, merges)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = ["" if t is None else t for t in part.column(1).to_pylist()]
-                one, two = best.encode(texts), merged.encode(texts)
+                one, two = coder.encode_forms(texts)
                 crc = lambda rows: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in rows], pa.int64())
                 size = lambda rows: pa.array([len(x) for x in rows], pa.int64())
-                same = [best.decode(x) == t.replace(MARK, " ").encode() for x, t in zip(one, texts, strict=True)]
+                same = [coder.decode(x) == t.replace(MARK, " ").encode() for x, t in zip(one, texts, strict=True)]
                 columns = [part.column(0), size(one), crc(one), size(two), crc(two), pa.array(same, pa.bool_())]
                 if with_ids:
                     columns.append(pa.array([x.tolist() for x in one], pa.list_(pa.int32())))

@@ -5,6 +5,7 @@ import re
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from twins import SMALL
@@ -96,3 +97,18 @@ def test_a_megabyte_without_blanks(spark, model):
     assert time.time() - began < 120
     for k, text in rows:
         assert found[k].round_trip and found[k].merged_crc32 == crc(model.encode(text))
+
+
+def test_methods_share_one_lattice_a_chunk(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(200).collect()] + [None, "", "é😀 ab", "x" * 700]
+    seen, lattice = [], sentencepieces.PieceTable.lattice
+    monkeypatch.setattr(sentencepieces.PieceTable, "lattice", lambda self, chunks: seen.extend(chunks) or lattice(self, chunks))
+    monkeypatch.setattr(sentencepieces, "_ENCODERS", {})
+    run, held = [], pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    docs = type("Docs", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, f, _: run.extend(f(iter([held])))})()
+    sentencepieces.encode_documents(docs, PATH, with_ids=True)
+    assert len(seen) == len(set(seen)) > 1000
+    rows = pa.Table.from_batches(run).to_pylist()
+    for method, name in ((sentencepieces.viterbi, "ids_crc32"), (sentencepieces.merges, "merged_crc32")):
+        alone = sentencepieces.PieceEncoder(PATH, method).encode([t or "" for t in texts])
+        assert [r[name] for r in rows] == [crc(x) for x in alone]
