@@ -33,7 +33,7 @@ def held():
     return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
 
 coder, start = encoder(public_tokenizers.path("byte_bpe_50k.json"), True, 1), held()
-for run in range(15):
+for run in range(20):
     for ids in coder.each(pa.array([" ".join(f"w{run * 40000 + k:x}" for k in range(j, j + 1000)) for j in range(0, 40000, 1000)])):
         pass
 print(held() - start)
@@ -42,4 +42,4 @@ print(held() - start)
 
 def test_a_worker_holds_little_after_many_distinct_words():
     found = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
-    assert float(found.stdout) < 100
+    assert float(found.stdout) < 90
