@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +24,31 @@ from clausewell.llm.common import BLANKS, own
 FEATURES = ("words", "word_chars", "symbols", "capitals", "digits", "stops", "distinct", "line_words", "bars", "exclaims", "echoes")
 
 
+#: Everything but the characters that are counted one by one: a text's marks are a small part of it, and all counts are made there.
+UNMARKED = r"[^#*$%&<>~^{}\\=\p{Lu}0-9.,;:?\n|!]+"
+
+
 def _left(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, ""))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(own(text), BLANKS), lambda w: w != "")
+def _parts(text: Column) -> dict[str, Column]:
+    """The words and the marks of whole texts: two passes of a pattern over each, and no more."""
+    return {"_cw_words": F.filter(F.split(own(text), BLANKS), lambda w: w != ""), "_cw_marks": F.regexp_replace(own(text), UNMARKED, "")}
 
 
-def statistics(text: Column, words: Column) -> list[Column]:
-    """Log-transformed statistics of a whole text and its words, in the order of FEATURES."""
-    t = own(text)
+def statistics() -> list[Column]:
+    """Log-transformed statistics of a whole text, in the order of FEATURES, from the columns of ``_parts``."""
+    words, marks = F.col("_cw_words"), F.col("_cw_marks")
     echoes = F.filter(F.zip_with(words, F.slice(words, 2, F.size(words) + 1), lambda a, b: a == b), lambda same: same)
     n_words = F.size(words).cast("double")
-    chars = _left(t, BLANKS).cast("double")
+    chars = F.length(F.array_join(words, "")).cast("double")
     ratio = lambda part, whole: F.log((part + 0.5) / (whole + 5.0))
-    symbols = _left(t, r"[^#*$%&<>~^{}\\=]+").cast("double")
-    capitals = _left(t, r"[^\p{Lu}]+").cast("double")
-    digits = _left(t, r"[^0-9]+").cast("double")
-    stops = _left(t, r"[^.,;:?]+").cast("double")
-    lines = _left(t, r"[^\n]+").cast("double") + 1
+    symbols = _left(marks, r"[^#*$%&<>~^{}\\=]+").cast("double")
+    capitals = _left(marks, r"[^\p{Lu}]+").cast("double")
+    digits = _left(marks, r"[^0-9]+").cast("double")
+    stops = _left(marks, r"[^.,;:?]+").cast("double")
+    lines = _left(marks, r"[^\n]+").cast("double") + 1
     return [
         F.log1p(n_words),
         F.log((chars + 5.0) / (n_words + 1.0)),
@@ -52,17 +58,16 @@ def statistics(text: Column, words: Column) -> list[Column]:
         ratio(stops, n_words),
         F.log((F.size(F.array_distinct(words)) + 1.0) / (n_words + 1.0)),
         F.log((n_words + 1.0) / lines),
-        ratio(_left(t, r"[^|]+").cast("double"), n_words),
-        ratio(_left(t, r"[^!]+").cast("double"), n_words),
+        ratio(_left(marks, r"[^|]+").cast("double"), n_words),
+        ratio(_left(marks, r"[^!]+").cast("double"), n_words),
         ratio(F.size(echoes).cast("double"), n_words),
     ]
 
 
 def with_statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` of ``docs`` and one double column per statistic of its text."""
-    split = docs.select(*keys, F.col("text").alias("_cw_text"), _words(F.col("text")).alias("_cw_words"))
-    found = zip(FEATURES, statistics(F.col("_cw_text"), F.col("_cw_words")), strict=True)
-    return split.select(*keys, *(c.alias(n) for n, c in found))
+    split = docs.select(*keys, *(c.alias(n) for n, c in _parts(F.col("text")).items()))
+    return split.select(*keys, *(c.alias(n) for n, c in zip(FEATURES, statistics(), strict=True)))
 
 
 @dataclass(frozen=True)
@@ -131,13 +136,18 @@ def learnt_labels(labels: DataFrame, most_labelled: int) -> DataFrame:
     return F.broadcast(known.orderBy(F.xxhash64("_cw_id"), "_cw_id", "_cw_quality").limit(most_labelled))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, scratch, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``. The statistics of all documents are computed and written once."""
-    table = scratch.save(with_statistics(docs, ["doc_id"]), "statistics")
+def quality_scores(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float = 0.2, most_labelled: int = 1_000_000, task_rows: int = 100_000) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``. The statistics of all documents are computed once and
+    kept on the executors' disks, where a lost part is computed again; they are scored by about ``task_rows`` rows a task, so
+    that few files are made of the result: for each, Hadoop's local file system starts a process, which for a moment counts
+    the executor's memory twice."""
+    table = with_statistics(docs, ["doc_id"]).persist(StorageLevel.DISK_ONLY)
+    rows = table.count()
     model = fit(table.join(learnt_labels(labels, most_labelled), F.col("doc_id") == F.col("_cw_id")), "_cw_quality", shrink)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     scored = table.select("doc_id", held_out.alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).coalesce(tasks)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float = 0.2, most_labelled: int = 1_000_000) -> DataFrame:
@@ -145,9 +155,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, scratch=None, shrink: float
     fit computes the statistics of labelled texts alone."""
     rows = docs.select("doc_id", "text").join(learnt_labels(labels, most_labelled), F.col("doc_id") == F.col("_cw_id"))
     model = fit(with_statistics(rows, ["_cw_quality"]), "_cw_quality", shrink)
-    found = zip(FEATURES, statistics(F.col("text"), F.col("_cw_words")), strict=True)
+    found = zip(FEATURES, statistics(), strict=True)
     # a generator of one row keeps the filter from being pushed below the statistics: the score names each of them some
     # twenty times, and the code generated for all these copies takes much memory to compile
     each = F.explode(F.array(F.struct(*(c.alias(f"_cw_{f}") for f, c in found)))).alias("_cw_found")
-    wide = docs.withColumn("_cw_words", _words(F.col("text"))).select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns], "_cw_found.*")
+    wide = docs.withColumns(_parts(F.col("text"))).select("*", each).select(*[F.col(f"`{c}`") for c in docs.columns], "_cw_found.*")
     return wide.filter(model.score("_cw_") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,7 @@ import numpy as np
 from twins import SMALL
 
 from clausewell.llm import quality_qda
+from clausewell.llm.common import Scratch
 from clausewell.llm.queries import QUERIES
 
 
@@ -47,3 +48,21 @@ def test_empty_tables(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
     assert quality_qda.keep_quality(docs.limit(0), labels).count() == 0
     assert quality_qda.keep_quality(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_statistics_of_odd_texts(spark):
+    texts = [None, "", " \n\x0b\t", "a  a\r\na|b!!", "\\ = {x} [y] ~^<>&%$*# 0189.,;:?", "Ä É \U0001d400\U0001d401 ß \u00a0x", "\n\n||!\n", "A" * 5000 + " 7" * 5000]
+    rows = quality_qda.with_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()
+    for r in rows:
+        assert np.allclose(r[1:], slow_statistics(texts[r.doc_id]), rtol=1e-12)
+
+
+def test_few_files(spark):
+    """A process is started for every file made: none holds statistics, and a result of few rows has few tasks."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    scratch = Scratch(spark, "few")
+    found = quality_qda.quality_scores(docs.repartition(64), labels, scratch)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.count() == docs.count()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
