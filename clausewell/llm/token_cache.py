@@ -31,6 +31,19 @@ PYTHON_BLANK = [chr(c) for c in range(0x1C, 0x20)]
 NOT_PLAIN = {True: r"\A | \z|  |\n\n| \n|\n |[" + "".join(RARE) + "]", False: "[\u0300-\u036f" + "".join(RARE + PYTHON_BLANK) + "]"}
 
 
+#: Words that pre-tokenizers of the kinds below leave whole, and marks behind them, which become one piece: letters of every
+#: Unicode version that normalizers at most make small, and no apostrophe, which may cut.
+WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+#: By ``keep_blanks``: the normalizer and the pre-tokenizer, as the library writes them, for which that holds.
+_BYTES = '{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":%s}'
+_CUT = r"""{"type":"Split","pattern":{"Regex":"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},"behavior":"Removed","invert":true}"""
+_SMALL = r"""{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\s+"},"content":" "},{"type":"Lowercase"}]}"""
+WHOLE_WORDS = {True: ("", _BYTES % "true"), False: (_SMALL, '{"type":"Sequence","pretokenizers":[' + _CUT + "," + _BYTES % "false" + "]}")}
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = "".join(chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256))
+
+
 class Codes(dict):
     """chunk -> code; a chunk that is not known gets the next code and waits in ``fresh`` to be encoded."""
 
@@ -151,7 +164,40 @@ class TokenizerEncoder(ChunkEncoder):
             cut, words = re.compile("(" + "|".join(sorted(marks, key=len, reverse=True)) + ")").split, split
             split = lambda t: words(t) if "<|" not in t else [x for k, part in enumerate(cut(t)) for x in ([part] if k % 2 else words(part))]
             self.pattern += r"|<\|"
-        super().__init__(split, self._encode, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
+        shape = tuple(x.__getstate__().decode() if x else "" for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.merged = self.tokenizer.model.tokenize if shape == WHOLE_WORDS[keep_blanks] and type(self.tokenizer.model).__name__ == "BPE" else None
+        self.marks: dict[str, list[int]] = {"": []}
+        super().__init__(split, self._encode if self.merged is None else self._encode_words, self.tokenizer.get_vocab_size() > 1 << 16, end_id)
+
+    def _encode_words(self, fresh: list[str], step: int = 4096) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Plain words and the marks behind them go to the model at once, which takes a third of the time that the library's
+        whole way takes for the same ids; the other chunks take that way."""
+        flats, lengths, rest = [np.zeros(0, np.int64)], np.zeros(len(fresh), np.int64), []
+        for at in range(0, len(fresh), step):
+            ids: list[int] = []
+            for k, x in enumerate(fresh[at : at + step], at):
+                if not (found := WORD(x)):
+                    rest.append(k)
+                    continue
+                word, marks = found.groups()
+                word = word if self.keep_blanks else word.lower()
+                word = word.replace(" ", BYTE_CHARS[32]) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+                before = len(ids)
+                ids += [t.id for t in self.merged(word)]
+                if marks not in self.marks and len(self.marks) < 1000:
+                    self.marks[marks] = [t.id for t in self.merged(marks)]
+                ids += self.marks[marks] if marks in self.marks else [t.id for t in self.merged(marks)]
+                lengths[k] = len(ids) - before
+            flats.append(np.array(ids, np.int64))
+        flat = np.concatenate(flats)
+        if not rest:
+            return [(flat, lengths)]
+        others, sizes = self._encode([fresh[k] for k in rest])[0]
+        is_word = np.ones(len(fresh), bool)
+        is_word[rest], lengths[rest] = False, sizes
+        of_word, out = np.repeat(is_word, lengths), np.zeros(lengths.sum(), np.int64)
+        out[of_word], out[~of_word] = flat, others
+        return [(out, lengths)]
 
     def _encode(self, fresh: list[str], joined: int = 64, step: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
         """``joined`` chunks become one input, each closed by a special token that cuts it off; a chunk that could hold
@@ -195,7 +241,7 @@ class TokenizerEncoder(ChunkEncoder):
         texts = pc.ascii_lower(texts) if self.lowers else texts
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.keep_blanks else " "), " ")
         words = lists.flatten().dictionary_encode()
-        at, known, offsets = words.indices.to_numpy(), words.dictionary.to_pylist(), lists.offsets.to_numpy()
+        at, known, offsets = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy()
         code, table = self.codes.__getitem__, np.zeros(len(known), np.int64)
         if not self.keep_blanks:
             table[:] = list(map(code, known))
