@@ -3,7 +3,6 @@ Bloom words, and connected components."""
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewell.functions.workers import emptied as emptied
+
 #: Word separators of all contracts: the six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -55,25 +56,6 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: The C library's call that gives freed memory back, where there is one (glibc); numpy's arrays and Python's lists lie there.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda kept: 0)
-
-
-def emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches. After each, and at the end, what a Python worker has freed goes back to the system: workers outlive
-    their tasks, and would keep the most that one of them took beside the stages that follow."""
-    for batch in batches:
-        yield batch
-        del batch
-        _give_back()
-    _give_back()
-
-
-def _give_back() -> None:
-    pa.default_memory_pool().release_unused()
-    _TRIM(0)
-
-
 def own(column: Column, default: str = "") -> Column:
     """Null text counts as empty."""
     return F.coalesce(column, F.lit(default))
